@@ -279,7 +279,11 @@ def link_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     null component and tie no others together. Repeated rows come back as often as they are there.
     An empty table gives an empty result. Other columns of docs are not read.
     """
-    sets = Sets(words, num, den)
+    return link_sets(docs, Sets(words, num, den))
+
+
+def link_sets(docs: DataFrame, sets: Sets) -> DataFrame:
+    """link_components for the sets that `sets` makes of texts."""
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
     every = cut(sketch(docs, sets, buckets))
     rows = every.where("bucket is null").select("doc_id", "n", "ref")
