@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,35 +20,89 @@ from lamella.llm.common import cut, split_words, text_blocks
 PIECE_TOKENS = 512
 #: Windows that one group of pieces fills, about.
 GROUP_WINDOWS = 512
-#: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a worker remembers: so many recent ones, and as many older ones.
+CACHE_WORDS = 500_000
+#: Between words that are encoded in one call; words that hold it are encoded alone.
+SEPARATOR = "©"
+MARKS = ".,!?;:"
+JOINED = 4000
 
 
 class WordEncoder:
     """Ids of texts by a tokenizers file whose pre-tokenizer never crosses ASCII white space.
 
-    Each text is split there, each distinct word is encoded once by the library, and the ids of a
-    text are those of its words in order. The memory of known words is emptied when it is full.
+    The file must lower-case, and split runs of letters from marks, as its own normaliser and
+    pre-tokenizer do. Each text is split at ASCII white space, each distinct word is encoded once by
+    the library, and the ids of a text are those of its words in order. Words are remembered in two
+    generations: when the recent one is full it becomes the older one, and the older one goes.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        found = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = found[0] if len(found) == 1 else None
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encode_new(self, words: list[str]) -> None:
+        """Encode words by the library, many in one call with separators, and remember them."""
+        recent = self.recent
+        plain = [w for w in words if SEPARATOR not in w] if self.separator is not None else []
+        if len(plain) < len(words):
+            held = [w for w in words if SEPARATOR in w] if self.separator is not None else words
+            for w, coded in zip(held, self.tokenizer.encode_batch(held, add_special_tokens=False), strict=True):
+                recent[w] = np.array(coded.ids, "<u4").tobytes()
+        for start in range(0, len(plain), JOINED):
+            part = plain[start : start + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.separator)
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer crosses white space")
+            flat, begins, ends = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), 4 * len(ids)]
+            for w, b, e in zip(part, begins, ends, strict=True):
+                recent[w] = flat[b:e]
 
     def word_ids(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = words
-        for w, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(coded.ids, "<u4").tobytes()
-        known = self.known
-        return [known[w] for w in words]
+        recent, older = self.recent, self.older
+        missing = [w for w in words if w not in recent]
+        if missing:
+            if len(recent) + len(missing) > CACHE_WORDS:
+                self.older = older = recent
+                self.recent = recent = {}
+                missing = words
+            stems: dict[str, None] = {}
+            compound: list[tuple[str, str, str]] = []
+            new: list[str] = []
+            for w in missing:
+                known = older.get(w)
+                if known is not None:
+                    recent[w] = known
+                    continue
+                if w[-1] in MARKS:
+                    stem = w.rstrip(MARKS)
+                    if stem.isalpha():
+                        marks = w[len(stem) :]
+                        compound.append((w, stem, marks))
+                        for x in (stem, marks):
+                            if x not in recent:
+                                if x in older:
+                                    recent[x] = older[x]
+                                else:
+                                    stems[x] = None
+                        continue
+                new.append(w)
+            stems.update(dict.fromkeys(new))
+            self.encode_new(list(stems))
+            for w, stem, marks in compound:
+                recent[w] = recent[stem] + recent[marks]
+        return [recent[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the offsets of each text's ids in it."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are found before lower-casing
+            texts = pc.ascii_lower(texts)
         words, offsets = split_words(texts)
         if not len(words):
             return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
@@ -82,7 +137,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, piece:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = WordEncoder(tokenizer)
         schema = pa.schema([(f.name, pa.int64()) for f in PIECES])
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, block_chars=8 << 20):
             ids, offsets = encoder.encode(block.column("text"))
             out: list[tuple] = []
             for k, doc_id in enumerate(block.column("doc_id").to_pylist()):
