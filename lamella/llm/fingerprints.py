@@ -106,7 +106,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     first row of all. Null ids come first.
     """
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"))
     quantiles = ids.select(F.percentile_approx("at", [i / (4 * parts) for i in range(1, 4 * parts)], 20_000)).first()[0]
     bounds = sorted(set(quantiles or []))

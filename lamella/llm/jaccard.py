@@ -284,7 +284,7 @@ def link_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
 def link_sets(docs: DataFrame, sets: Sets) -> DataFrame:
     """link_components for the sets that `sets` makes of texts."""
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = cut(sketch(docs, sets, buckets))
     rows = every.where("bucket is null").select("doc_id", "n", "ref")
     edges = candidates(every.where("bucket is not null").select("bucket", "keys", "refs", "more"), buckets)

@@ -188,6 +188,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("guess", guess("text")).select(*[F.col(f"`{c}`") for c in docs.columns], "guess.*")
 
 
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text isn't rejected, with all their columns."""
+
+    @F.pandas_udf("boolean")
+    def accepted(texts: pd.Series) -> pd.Series:
+        return pd.Series(~model.predict(texts.fillna("").tolist())[2], dtype=bool)
+
+    return docs.where(accepted("text"))
+
+
 def languages(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, lang_pred, score, rejected.
 

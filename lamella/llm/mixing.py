@@ -52,21 +52,10 @@ def sizes(docs: DataFrame, seed: int, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, copies, taken.
-
-    copies is the number of repetitions that the mix takes: the whole part of target / source_size for
-    every row, and one more for the rows that come first in the source's seeded order, up to the row
-    whose middle word is beyond the remaining target. So a source's taken words miss its target by
-    half a row's size at most. max_epochs bounds copies. Reruns draw the same rows.
-
-    Null text has size 0, a null source is a source of its own (last in order), a null doc_id has the
-    place of the word "null"; repeated rows count as often as they come; equal places are told apart
-    by size. An empty table gives an empty result. Other columns of docs are not read.
-    """
+def dealt(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: int) -> DataFrame:
+    """Per row: doc_id, source, size, draw, source_size, target, whole (repetitions of all rows), extra (0 or 1)."""
     rows = cut(sizes(docs, seed)).withColumn("range", F.substring("draw", 1, RANGE_DIGITS))
-    ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    ranges = cut(ranges)
+    ranges = cut(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
     goal = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -78,17 +67,60 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
         .select("r.source", "r.range", "start", "source_size", "target", "whole", "rest")
     )
     upto = F.col("start") + F.sum("size").over(Window.partitionBy("d.source", "d.range").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0))
-    extra = F.when(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)
-    extra = F.when(F.col("rest") > 0, extra).otherwise(0)
+    extra = F.when((F.col("rest") > 0) & (2 * F.col("upto") - F.col("size") <= 2 * F.col("rest")), 1).otherwise(0)
     return (
         rows.alias("d")
         .join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.range") == F.col("p.range")))
         .withColumn("upto", upto)
-        .select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
-        .withColumn("taken", F.col("size") * F.col("copies"))
+        .select("doc_id", F.col("d.source").alias("source"), "size", "draw", "source_size", "target", "whole", extra.cast("long").alias("extra"))
     )
 
 
+DEFAULTS = {"weights": (3.0, 1.0, 2.0), "share": 1.5, "max_epochs": 2.0, "seed": 17}
+
+
+def mix(docs: DataFrame, **parameters: object) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, copies, taken.
+
+    Parameters, as in DEFAULTS: the weights, in the order of the sources' names, repeating; the mix's
+    share of all words; the most often that a source is repeated; the seed. copies is the number of
+    repetitions that the mix takes: the whole part of target / source_size for every row, and one more
+    for the rows that come first in the source's seeded order, up to the row whose middle word is
+    beyond the remaining target. So a source's taken words miss its target by half a row's size at
+    most. Reruns draw the same rows.
+
+    Null text has size 0, a null source is a source of its own (last in order), a null doc_id has the
+    place of the word "null"; repeated rows count as often as they come; equal places are told apart
+    by size. An empty table gives an empty result. Other columns of docs are not read.
+    """
+    copies = F.col("whole") + F.col("extra")
+    found = dealt(docs, **(DEFAULTS | parameters))
+    return found.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def marks(docs: DataFrame, **parameters: object) -> DataFrame:
+    """One row per source: what `repeat` needs to repeat that source's documents as `mix` does."""
+    found = dealt(docs, **(DEFAULTS | parameters))
+    last = F.max(F.when(F.col("extra") == 1, F.struct("draw", "size")))
+    seed = F.lit((DEFAULTS | parameters)["seed"])
+    return found.groupBy("source").agg(F.first("whole").alias("whole"), last.alias("last")).withColumn("seed", seed)
+
+
+def repeat(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it, texts unmoved where marks are broadcast.
+
+    A source's extra repetitions go to the rows up to its last one in seeded order, so a row's own
+    place tells its number. (Rows with the same id, source and size share a place and go together.)
+    """
+    size = F.coalesce(F.regexp_count(F.col("d.text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    key = F.concat(F.col("m.seed").cast("string"), F.lit(":"), F.coalesce(F.col("d.doc_id").cast("string"), F.lit("null")))
+    place = F.struct(F.md5(key.cast("binary")).alias("draw"), size.alias("size"))
+    copies = F.col("m.whole") + F.when(F.col("m.last").isNotNull() & (place <= F.col("m.last")), 1).otherwise(0)
+    joined = docs.alias("d").join(marks.alias("m"), F.col("d.source").eqNullSafe(F.col("m.source")))
+    copy = F.explode(F.array_repeat(F.lit(0), copies.cast("int")))
+    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], copy.alias("__copy")).drop("__copy")
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

@@ -208,8 +208,8 @@ def score_column(x: Column, model: Model) -> Column:
     return score(x)
 
 
-def text_score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column `score`, computed where each row lies."""
+def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows of docs whose text scores at least threshold, with all their columns."""
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -217,7 +217,7 @@ def text_score(docs: DataFrame, model: Model) -> DataFrame:
         parts = [model.score(statistics(b.column("text")).astype(np.float32).astype(np.float64)) for b in text_blocks(iter([block]))]
         return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
-    return docs.withColumn("score", score("text"))
+    return docs.where(score("text") >= threshold)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
