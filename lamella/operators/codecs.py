@@ -44,8 +44,8 @@ def make_codec(name: str) -> Codec:
 
 def rle_encode(df: DataFrame, value: str, ordinal: str, rows: int = CHUNK_ROWS) -> DataFrame:
     """(chunk, run, value, length): runs of equal values (nulls are equal) in ordinal order."""
-    by = Window.partitionBy("chunk").orderBy("at")
-    base = df.select(F.col(value).alias("value"), F.col(ordinal).alias("at"), chunk_of(F.col(ordinal), rows).alias("chunk"))
+    by = Window.partitionBy("chunk").orderBy("pos")
+    base = df.select(F.col(value).alias("value"), F.col(ordinal).alias("pos"), chunk_of(F.col(ordinal), rows).alias("chunk"))
     first = F.row_number().over(by) == 1
     starts = base.withColumn("starts", (first | ~F.col("value").eqNullSafe(F.lag("value").over(by))).cast("int"))
     marked = starts.withColumn("run", F.sum("starts").over(by))
@@ -53,10 +53,10 @@ def rle_encode(df: DataFrame, value: str, ordinal: str, rows: int = CHUNK_ROWS)
 
 
 def rle_decode(runs: DataFrame) -> DataFrame:
-    """(chunk, at, value): the values again, at counting from 0 in each chunk."""
+    """(chunk, pos, value): the values again, pos counting from 0 in each chunk."""
     before = F.sum("length").over(Window.partitionBy("chunk").orderBy("run")) - F.col("length")
     spread = runs.withColumn("before", before).select("chunk", "value", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1)).alias("k"))
-    return spread.select("chunk", (F.col("before") + F.col("k")).alias("at"), "value")
+    return spread.select("chunk", (F.col("before") + F.col("k")).alias("pos"), "value")
 
 
 def rle_size(runs: DataFrame, element_size: int) -> DataFrame:
@@ -67,19 +67,19 @@ def rle_size(runs: DataFrame, element_size: int) -> DataFrame:
 
 
 def delta_encode(df: DataFrame, value: str, ordinal: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """(chunk, at, zigzag): differences of successive values, the first from 0. value is an int or long, without nulls.
+    """(chunk, pos, zigzag): differences of successive values, the first from 0. value is an int or long, without nulls.
 
     Differences that leave a long's range are an error, as in any ANSI arithmetic.
     """
-    by = Window.partitionBy("chunk").orderBy("at")
-    base = df.select(F.col(value).cast("long").alias("v"), F.col(ordinal).alias("at"), chunk_of(F.col(ordinal), rows).alias("chunk"))
-    return base.select("chunk", "at", zigzag_encode(F.col("v") - F.lag("v", 1, 0).over(by)).alias("zigzag"))
+    by = Window.partitionBy("chunk").orderBy("pos")
+    base = df.select(F.col(value).cast("long").alias("v"), F.col(ordinal).alias("pos"), chunk_of(F.col(ordinal), rows).alias("chunk"))
+    return base.select("chunk", "pos", zigzag_encode(F.col("v") - F.lag("v", 1, 0).over(by)).alias("zigzag"))
 
 
 def delta_decode(deltas: DataFrame) -> DataFrame:
-    """(chunk, at, value): the values again by running sums."""
-    by = Window.partitionBy("chunk").orderBy("at")
-    return deltas.select("chunk", "at", F.sum(zigzag_decode(F.col("zigzag"))).over(by).alias("value"))
+    """(chunk, pos, value): the values again by running sums."""
+    by = Window.partitionBy("chunk").orderBy("pos")
+    return deltas.select("chunk", "pos", F.sum(zigzag_decode(F.col("zigzag"))).over(by).alias("value"))
 
 
 def delta_size(deltas: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def compile_plan(df: DataFrame, plan: QueryPlan, ordinal: str | None = None, as_
     takes the first qualifying rows by ordinal; without an ordinal, any. as_double casts projected
     numbers.
     """
-    schema = T.StructType([f for f in df.schema if f.name != ordinal])
+    schema = T.StructType([f for f in df.schema if f.name != ORDINAL])
     validate(schema, plan)
     rows = predicates.apply(df, plan.where)
     if plan.aggregates:
