@@ -10,7 +10,6 @@ from lamella.sources.catalog import Catalog
 
 #: What a number may begin with where trailing characters are ignored.
 _PREFIX = {"integer": r"^\s*([+-]?[0-9]+)", "fraction": r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"}
-_CORRUPT = "__corrupt"
 
 
 def _parse(column: Column, kind: T.DataType, lenient: bool) -> Column:
@@ -28,22 +27,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, lenient: bool
     The first line is a header and its names are ignored. Blank lines and rows with another number of
     fields are dropped. Quotes hold commas, a doubled quote is one. An empty or non-numeric field in a
     numeric column is an error when the rows are used; lenient takes a leading number and ignores the
-    rest. All fields are read as text with the corrupt-record mark, as a reader that prunes columns
-    would let rows of another arity pass.
+    rest. All fields of a row are always read, and as text: a reader that prunes columns would let rows
+    of another arity pass, and one that parses numbers would drop rows instead of failing.
     """
-    text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(schema))] + [T.StructField(_CORRUPT, T.StringType())])
+    text = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(schema))])
     rows = (
         spark.read.schema(text)
         .option("header", True)
         .option("enforceSchema", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
+        .option("mode", "DROPMALFORMED")
+        .option("columnPruning", False)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
     )
-    good = rows.where(F.col(_CORRUPT).isNull())
-    return good.select(*[_parse(F.col(f"c{i}"), f.dataType, lenient).alias(f.name) for i, f in enumerate(schema)])
+    return rows.select(*[_parse(F.col(f"c{i}"), f.dataType, lenient).alias(f.name) for i, f in enumerate(schema)])
 
 
 def ingest_csv(catalog: Catalog, table: str, path: str, lenient: bool = False, codec: str = "none") -> None:
