@@ -35,7 +35,7 @@ def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows with the same id and text are one document. All columns stay.
     """
     found = cut(jaccard.link_components(docs, words=5, num=80, den=100))
-    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         null = F.col("doc_id").isNull()
         kept = kept.where(~null).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(null))
