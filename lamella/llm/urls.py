@@ -32,6 +32,9 @@ RULES = (
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"://([^/?#]*)([^?#]*)"
+#: Token sets with a mined rule up to this number are broadcast to the pages; more are joined by shuffle,
+#: where both sides are exchanges of their own, so that Spark can split a token set that very many pages share.
+BROADCAST_SETS = 10_000
 #: The item that stands for an unwanted page; no token contains a space.
 BLOCK = "is block"
 
@@ -129,7 +132,9 @@ def judge(
     """
     own = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), tokens(F.col("url")).alias("items"))
     fixed = own.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
-    found = matched(own, mined_rules(labelled, min_support, min_confidence))
+    found = cut(matched(own, mined_rules(labelled, min_support, min_confidence)))
+    if found.count() <= BROADCAST_SETS:
+        found = F.broadcast(found)
     return fixed.join(found, "items", "left").select(
         "page_id",
         "host",
