@@ -23,6 +23,8 @@ ROWS_PER_LANGUAGE = 400
 LANGUAGES = 200
 ROWS = 16_000
 CENTROIDS = 4
+#: A text of fewer letters is held to a bound lower in proportion, as its cosine says less.
+ENOUGH_LETTERS = 200
 
 
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +91,7 @@ class Model:
             top = np.clip(cosine[np.arange(len(best)), best], 0, 1)
             names += [self.names[self.of[b]] if k else "und" for b, k in zip(best.tolist(), n.tolist(), strict=True)]
             scores.append(np.where(n > 0, top, 0.0))
-            rejected.append((n == 0) | (top < self.reject_below[best]))
+            rejected.append((n == 0) | (top < self.reject_below[best] * np.minimum(1, n / ENOUGH_LETTERS)))
         return names, np.concatenate(scores), np.concatenate(rejected)
 
 
@@ -134,7 +136,7 @@ def fit(docs: DataFrame, seed: int = 5, reject_ratio: float = 0.25) -> Model:
     about ROWS_PER_LANGUAGE rows of each of at most LANGUAGES languages (ROWS in all), drawn by a
     hash of the id.
     A text is rejected when its cosine is below reject_ratio times the least cosine of the sample's
-    rows with the same centroid.
+    rows with the same centroid (less for texts below ENOUGH_LETTERS).
     """
     train = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != "und") & (fold(F.col("doc_id")) != 2))
     common = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()

@@ -107,7 +107,7 @@ def training(docs):
 
 
 def test_language_rejects_what_is_far(docs):
-    rows = training(docs) + [(900, "жук ель нож шар мир", None), (901, "abcabc", None), (902, "", None), (903, None, None), (904, "12 34 !!", None)]
+    rows = training(docs) + [(900, "жук ель нож шар мир " * 20, None), (901, "abc", None), (902, "", None), (903, None, None), (904, "12 34 !!", None)]
     got = {r["doc_id"]: r for r in language.languages(docs(*rows)).collect()}
     assert got[900]["rejected"] and not got[901]["rejected"] and got[901]["lang_pred"] == "aa"
     for i in (902, 903, 904):
