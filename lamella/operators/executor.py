@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,13 +12,14 @@ from pyspark.sql import types as T
 
 from lamella.functions.types import column_type
 from lamella.operators import aggregates, predicates
-from lamella.plans.query import AggFunc, AggregateValue, PlanResult, QueryPlan
+from lamella.plans.query import AggFunc, AggregateValue, PlanResult, Predicate, QueryPlan
 from lamella.sources.catalog import ORDINAL, Catalog
 
 
 @dataclass
 class QueryResult(PlanResult):
     rows_scanned: int = 0
+    rows_read: int = 0
     elapsed_ms: float = 0.0
 
 
@@ -49,26 +50,57 @@ def compile_plan(df: DataFrame, plan: QueryPlan, ordinal: str | None = None, as_
     return rows.select(*columns)
 
 
+def rows_read(df: DataFrame) -> int:
+    """Rows that the scans of df gave when it was last run: those of row groups that weren't skipped."""
+
+    def below(plan: object) -> int:
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return below(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return below(plan.plan())
+        if kind.endswith("ScanExec"):
+            found = plan.metrics().get("numOutputRows")
+            return found.get().value() if found.isDefined() else 0
+        children = plan.children()
+        return sum(below(children.apply(i)) for i in range(children.size()))
+
+    return below(df._jdf.queryExecution().executedPlan())
+
+
 class Engine:
     """Runs plans over the tables of a catalog."""
 
     def __init__(self, catalog: Catalog) -> None:
         self.catalog = catalog
 
+    def scan(self, table: str, columns: Iterable[str] = (), where: Iterable[Predicate] = ()) -> DataFrame:
+        """The filtered rows with the named columns, or all; filters may name other columns."""
+        return self.execute(QueryPlan(table, tuple(columns), tuple(where)))
+
+    def explain(self, plan: QueryPlan) -> str:
+        """The physical plan that the plan compiles to."""
+        return self.execute(plan)._jdf.queryExecution().explainString(self.catalog.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
     def execute(self, plan: QueryPlan, as_double: bool = False, long: bool = False) -> DataFrame:
         return compile_plan(self.catalog.stored(plan.table), plan, ORDINAL, as_double, long)
 
     def run(self, plan: QueryPlan) -> QueryResult:
-        """The plan's rows or aggregates as Python values, the table's rows, and the time taken."""
+        """The plan's rows or aggregates as Python values, with figures.
+
+        rows_scanned is the number of the table's rows, rows_read how many of them the scan gave after
+        skipping row groups, elapsed_ms the time of the plan alone.
+        """
         began = time.perf_counter()
+        df = self.execute(plan, long=bool(plan.aggregates))
         if plan.aggregates:
-            found = self.execute(plan, long=True).collect()
+            found = df.collect()
             values = [AggregateValue(r["col_name"], AggFunc[r["func"]], r["value"], r["count"]) for r in found]
             result = QueryResult([v.name for v in values], [], values)
         else:
-            df = self.execute(plan)
             result = QueryResult(df.columns, [tuple(r) for r in df.collect()])
         result.elapsed_ms = (time.perf_counter() - began) * 1000
+        result.rows_read = rows_read(df)
         result.rows_scanned = self.catalog.total_rows(plan.table)
         return result
 

@@ -272,6 +272,20 @@ def test_sorted_layout_lets_parquet_skip(catalog, spark):
     assert "PushedFilters: [IsNotNull(k), LessThan(k,100)]" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_scan_explain_and_rows_read(catalog, spark):
+    df = spark.range(300_000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("int").alias("v"))
+    catalog.create_table("z", df.schema)
+    catalog.write("z", df.coalesce(1))
+    engine = Engine(catalog)
+    assert engine.scan("z", ["v"], [Predicate("k", CompareOp.LT, 10)]).columns == ["v"]
+    assert engine.scan("z").count() == 300_000
+    plan = QueryPlan("z", where=[Predicate("k", CompareOp.LT, 10)], aggregates=[Aggregate(AggFunc.SUM, "v", "s")])
+    assert "LessThan(k,10)" in engine.explain(plan)
+    result = engine.run(plan)
+    assert result.rows_scanned == 300_000 and 10 <= result.rows_read <= 65_536
+    assert engine.run(QueryPlan("z", ["k"])).rows_read == 300_000
+
+
 # csv
 
 
