@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters outside these six ASCII spaces.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch of texts at most (a longer text is a batch of its own).
+BATCH_BYTES = 4 << 20
+
 M1 = np.uint64(0xFF51AFD7ED558CCD)
 M2 = np.uint64(0xC4CEB9FE1A85EC53)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -54,6 +57,19 @@ def drop_written(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns (doc_id and text by default) of docs, about to go to Python.
+
+    Bounds the session's Arrow batches by bytes as well as rows, unless a smaller bound is set, so
+    that a worker's memory doesn't follow the length of texts.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key, "67108864b").rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return docs.select(*(columns or ("doc_id", "text")))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, mod 4; remainder 2 marks held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -63,19 +79,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_chars: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def release_memory() -> None:
+    """Give freed memory back to the system; Python workers live on after a task, and others need it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", block_chars: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about block_chars bytes of text each, nulls in that column made empty."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
         filled = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
         batch = batch.set_column(at, column, filled)
         ends = np.cumsum(pc.binary_length(filled).to_numpy(zero_copy_only=False))
+        each = ends[-1] / max(1, round(ends[-1] / block_chars)) if len(ends) else 0
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + block_chars, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + each, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, filled
+    release_memory()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

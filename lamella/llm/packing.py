@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -14,16 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamella.llm.common import cut, split_words, text_blocks
+from lamella.llm.common import cut, release_memory, split_words, text_blocks, text_rows
 
 #: Pieces of at most this many tokens are dealt to windows; whole windows of long texts stay as they are.
 PIECE_TOKENS = 512
 #: Windows that one group of pieces fills, about.
 GROUP_WINDOWS = 512
-#: Distinct words whose ids a worker remembers: so many recent ones, and as many older ones.
-CACHE_WORDS = 500_000
-#: Between words that are encoded in one call; words that hold it are encoded alone.
-SEPARATOR = "©"
+#: Distinct words whose ids a worker remembers: so many recent ones, and as many older ones. A million
+#: take about 280 MB.
+MEMORY_WORDS = 500_000
+#: What pieces that end a run of letters, or of marks, end with in the vocabulary.
+WORD_END = "</w>"
 MARKS = ".,!?;:"
 JOINED = 4000
 
@@ -31,44 +33,52 @@ JOINED = 4000
 class WordEncoder:
     """Ids of texts by a tokenizers file whose pre-tokenizer never crosses ASCII white space.
 
-    The file must lower-case, and split runs of letters from marks, as its own normaliser and
-    pre-tokenizer do. Each text is split at ASCII white space, each distinct word is encoded once by
+    The file must lower-case, split runs of letters from marks, and mark the piece that ends a run,
+    as word_bpe_49k.json does. Each text is split at ASCII white space, each distinct word is encoded once by
     the library, and the ids of a text are those of its words in order. Words are remembered in two
     generations: when the recent one is full it becomes the older one, and the older one goes.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory_words: int = MEMORY_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        found = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
-        self.separator = found[0] if len(found) == 1 else None
+        self.memory_words = memory_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode_new(self, words: list[str]) -> None:
-        """Encode words by the library, many in one call with separators, and remember them."""
+        """Encode words by the library and remember them.
+
+        Words of letters alone go many to a call: each is one run of letters to the pre-tokenizer, so
+        its last id, and no other, is one that ends a run. Where the number of such ids isn't that of
+        the words (lower-casing can add marks), and for other words, each word is encoded by itself.
+        """
         recent = self.recent
-        plain = [w for w in words if SEPARATOR not in w] if self.separator is not None else []
-        if len(plain) < len(words):
-            held = [w for w in words if SEPARATOR in w] if self.separator is not None else words
-            for w, coded in zip(held, self.tokenizer.encode_batch(held, add_special_tokens=False), strict=True):
-                recent[w] = np.array(coded.ids, "<u4").tobytes()
-        for start in range(0, len(plain), JOINED):
-            part = plain[start : start + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.separator)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the tokenizer crosses white space")
-            flat, begins, ends = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()], [*(cuts * 4).tolist(), 4 * len(ids)]
-            for w, b, e in zip(part, begins, ends, strict=True):
-                recent[w] = flat[b:e]
+        alone = [w for w in words if not w.isalpha()]
+        letters = [w for w in words if w.isalpha()] if alone else words
+        for start in range(0, len(letters), JOINED):
+            part = letters[start : start + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(ends) != len(part):
+                alone += part
+                continue
+            flat, begin = ids.tobytes(), 0
+            for w, stop in zip(part, ends.tolist(), strict=True):
+                recent[w] = flat[begin:stop]
+                begin = stop
+        for w, coded in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            recent[w] = np.array(coded.ids, "<u4").tobytes()
 
     def word_ids(self, words: list[str]) -> list[bytes]:
         recent, older = self.recent, self.older
         missing = [w for w in words if w not in recent]
         if missing:
-            if len(recent) + len(missing) > CACHE_WORDS:
+            if len(recent) + len(missing) > self.memory_words:
                 self.older = older = recent
                 self.recent = recent = {}
                 missing = words
@@ -99,22 +109,24 @@ class WordEncoder:
                 recent[w] = recent[stem] + recent[marks]
         return [recent[w] for w in words]
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts in one array, and the offsets of each text's ids in it."""
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids, four little-endian bytes each."""
         if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are found before lower-casing
             texts = pc.ascii_lower(texts)
         words, offsets = split_words(texts)
-        if not len(words):
-            return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        del texts
         coded = words.dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False)
         table = self.word_ids(coded.dictionary.to_pylist())
-        sizes = np.fromiter((len(b) // 4 for b in table), np.int64, len(table))
-        flat, starts = np.frombuffer(b"".join(table), "<u4"), np.cumsum(sizes) - sizes
-        counts = sizes[which]
-        ends = np.cumsum(counts)
-        ids = flat[np.arange(ends[-1]) + np.repeat(starts[which] - (ends - counts), counts)]
-        return ids, np.concatenate(([0], ends))[offsets]
+        del words, coded
+        for start, stop in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            yield b"".join(map(table.__getitem__, which[start:stop].tolist()))
+
+
+@functools.lru_cache(1)
+def kept_encoder(path: str, memory_words: int) -> WordEncoder:
+    """The worker's encoder for the file, with what it remembers from task to task."""
+    return WordEncoder(path, memory_words)
 
 
 PIECES = T.StructType(
@@ -128,31 +140,32 @@ PIECES = T.StructType(
 )
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, piece: int = PIECE_TOKENS) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, memory_words: int, keep: bool, piece: int = PIECE_TOKENS) -> DataFrame:
     """Each document's ids, then end_id, cut into whole windows, then pieces, then what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = WordEncoder(tokenizer)
+        encoder, end = (kept_encoder if keep else WordEncoder)(tokenizer, memory_words), end_id.to_bytes(4, "little")
         schema = pa.schema([(f.name, pa.int64()) for f in PIECES])
-        for block in text_blocks(batches, block_chars=8 << 20):
-            ids, offsets = encoder.encode(block.column("text"))
+        for block in text_blocks(batches):
             out: list[tuple] = []
-            for k, doc_id in enumerate(block.column("doc_id").to_pylist()):
-                own = np.append(ids[offsets[k] : offsets[k + 1]], np.array([end_id], "<u4")).astype("<u4", copy=False)
-                n = len(own)
+            for doc_id, own in zip(block.column("doc_id").to_pylist(), encoder.encode(block.column("text")), strict=True):
+                own += end
+                n = len(own) // 4
                 whole = n - n % window
                 ends = [*range(window, whole + 1, window), *range(whole + piece, n, piece)]
                 ends += [n] * (whole < n)
                 start = 0
                 for stop in ends:
-                    out.append((doc_id, start, stop - start, zlib.crc32(own[start:stop].tobytes()), n))
+                    out.append((doc_id, start, stop - start, zlib.crc32(own[4 * start : 4 * stop]), n))
                     start = stop
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
+        del encoder
+        release_memory()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return text_rows(docs).mapInArrow(run, PIECES)
 
 
 def difference(sizes: np.ndarray, bins: int) -> np.ndarray:
@@ -209,17 +222,18 @@ def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
         count += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, memory_words: int = MEMORY_WORDS, keep: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A text of at least one window gives whole windows, each a sequence of its own. The rests of all
     texts, in pieces of at most PIECE_TOKENS ids, are dealt at random to groups that fill about
-    GROUP_WINDOWS windows; each group is packed by itself, so no task sees more than a group.
+    GROUP_WINDOWS windows; each group is packed by itself, so no task sees more than a group. Workers
+    remember the ids of 2 * memory_words words, with keep from task to task; less memory takes more time.
 
     Null or empty text is the end id alone. Repeated rows and null ids are packed like any others.
     An empty table gives an empty result. Other columns of docs are not read.
     """
-    rows = cut(cut_pieces(docs, tokenizer, window, end_id)).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(cut_pieces(docs, tokenizer, window, end_id, memory_words, keep)).withColumn("row", F.monotonically_increasing_id())
     whole = rows.where(F.col("length") == window).withColumn("sequence_id", 2 * F.col("row") + 1).withColumn("offset", F.lit(0).cast("long"))
     rest = rows.where(F.col("length") < window)
     total = rest.agg(F.sum("length")).first()[0] or 0
