@@ -16,6 +16,9 @@ from lamella.llm.common import cut, drop_written, written
 
 #: Sources up to this number are broadcast with their share of the mix; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
+#: Words that packing remembers in a worker, in one task: executors still hold what the stages before
+#: have grown to, and later work needs the workers' memory.
+PACKING_MEMORY_WORDS = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents' tokens in sequences of at most 4096."""
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), memory_words=PACKING_MEMORY_WORDS, keep=False)
 
 
 STAGES = [

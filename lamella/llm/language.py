@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import cut, fold, held_out, mix64, text_blocks
+from lamella.llm.common import cut, fold, held_out, mix64, text_blocks, text_rows
 
 #: Hashed n-gram features.
 FEATURES = 4096
@@ -122,7 +122,7 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
                 total[-1] += len(counts)
         yield pa.record_batch([pa.array(np.arange(FEATURES + 1)), pa.array(total)], names=["feature", "n"])
 
-    found = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    found = text_rows(docs, "text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(FEATURES + 1, np.int64)
     for feature, n in found:
         out[feature] = n
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, seed: int = 5, reject_ratio: float = 0.25) -> Model:
                 yield pd.DataFrame({"lang": part["lang"].to_numpy(), "counts": [np.minimum(c, 65535).astype(np.uint16).tobytes() for c in counts]})
 
     by_lang: dict[str, list[np.ndarray]] = {}
-    for lang, counts in rows.select("lang", "text").mapInPandas(counted, "lang string, counts binary").collect():
+    for lang, counts in text_rows(rows, "lang", "text").mapInPandas(counted, "lang string, counts binary").collect():
         by_lang.setdefault(lang, []).append(np.frombuffer(counts, np.uint16).astype(np.float32))
     model = Model(names, idf, np.empty((0, FEATURES)), np.empty(0, int), np.empty(0))
     centroids, of, least = [], [], []
@@ -187,7 +187,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         names, scores, rejected = model.predict(texts.fillna("").tolist())
         return pd.DataFrame({"lang_pred": names, "score": scores, "rejected": rejected})
 
-    return docs.withColumn("guess", guess("text")).select(*[F.col(f"`{c}`") for c in docs.columns], "guess.*")
+    return text_rows(docs, "*").withColumn("guess", guess("text")).select(*[F.col(f"`{c}`") for c in docs.columns], "guess.*")
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
@@ -197,7 +197,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     def accepted(texts: pd.Series) -> pd.Series:
         return pd.Series(~model.predict(texts.fillna("").tolist())[2], dtype=bool)
 
-    return docs.where(accepted("text"))
+    return text_rows(docs, "*").where(accepted("text"))
 
 
 def languages(docs: DataFrame) -> DataFrame:

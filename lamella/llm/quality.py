@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import cut, fold, held_out, split_words, text_blocks
+from lamella.llm.common import cut, fold, held_out, split_words, text_blocks, text_rows
 
 #: Random features of the Gaussian kernel.
 FOURIER = 256
@@ -129,7 +129,7 @@ def describe(docs: DataFrame) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
             yield pa.record_batch([block.column("doc_id").cast(pa.int64()), flat], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<float>")
+    return text_rows(docs).mapInArrow(run, "doc_id long, x array<float>")
 
 
 def summed(rows: DataFrame, part: object) -> np.ndarray | None:
@@ -217,7 +217,7 @@ def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
         parts = [model.score(statistics(b.column("text")).astype(np.float32).astype(np.float64)) for b in text_blocks(iter([block]))]
         return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
-    return docs.where(score("text") >= threshold)
+    return text_rows(docs, "*").where(score("text") >= threshold)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lamella.llm.common import split_words, text_blocks
+from lamella.llm.common import split_words, text_blocks, text_rows
 
 #: Distinct words whose lengths a worker remembers.
 CACHE_WORDS = 500_000
@@ -112,4 +112,4 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
                 names=["doc_id", "n_words", "n_tokens"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return text_rows(docs).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
