@@ -36,6 +36,15 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": v, "b": m})
 
 
+def _lowest(pairs: DataFrame) -> DataFrame:
+    """(a, m): the smallest b of each a, with a behind an expression.
+
+    Spark then deals this small side anew for a join on a, and so both sides of the join come from
+    exchanges of their own: it can split a node with very many neighbours over tasks.
+    """
+    return pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").bitwiseXOR(F.lit(0).cast("long")).alias("a"), "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a long, b long); component is its smallest node.
 
@@ -50,11 +59,9 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(_lowest(both), "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        small = large.join(_lowest(large), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         edges = cut(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if now == mark:

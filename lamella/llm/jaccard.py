@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import GOLDEN, M1, cut, hash_words, mix64, split_words, text_blocks
+from lamella.llm.common import GOLDEN, M1, cut, hash_words, mix64, split_words, text_blocks, text_rows
 from lamella.llm.components import components, forest
 
 #: Sizes of one band differ by this factor at most.
@@ -161,7 +161,7 @@ def sketch(docs: DataFrame, sets: Sets, buckets: int) -> DataFrame:
                 yield pa.record_batch([none, none, none, pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], schema=schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ref", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary()), ("more", pa.binary())])
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, ref long, " + POSTINGS)
+    return text_rows(docs).mapInArrow(run, "doc_id long, n long, ref long, " + POSTINGS)
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +287,8 @@ def link_sets(docs: DataFrame, sets: Sets) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     every = cut(sketch(docs, sets, buckets))
     rows = every.where("bucket is null").select("doc_id", "n", "ref")
-    edges = candidates(every.where("bucket is not null").select("bucket", "keys", "refs", "more"), buckets)
+    # cut, so that no task feeds one Python worker from another
+    edges = cut(candidates(every.where("bucket is not null").select("bucket", "keys", "refs", "more"), buckets))
     cluster = cut(components(edges))
     members = cluster.select(F.col("node").alias("ref"), F.col("component").alias("cluster"))
     members = members.unionByName(cluster.select(F.col("component").alias("ref"), F.col("component").alias("cluster")).distinct())
@@ -335,16 +336,18 @@ def verify(docs: DataFrame, members: DataFrame, sets: Sets) -> DataFrame:
         down = F.transform(F.sequence(F.lit(0), F.col(f"down{step}") - 1), lambda t, s=step: tile(F.col("band") - s, t, F.col("band"), F.col("salt"), 2))
         none = F.array().cast(own_type)
         tiles += [F.coalesce(up, none), F.coalesce(down, none)]
-    work = placed.select("doc_id", "cluster", F.explode(F.concat(*tiles)).alias("tile")).select("doc_id", "cluster", "tile.*")
-    wanted = members.select("doc_id")
+    work = placed.select("doc_id", "ref", "cluster", F.explode(F.concat(*tiles)).alias("tile")).select("doc_id", "ref", "cluster", "tile.*")
+    wanted = members.select("doc_id").distinct()
     count = wanted.count()
-    picked = docs.select("doc_id", "text").join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
+    picked = text_rows(docs).join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches):
-            yield pa.record_batch([block.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in sets.of(block.column("text"))], pa.binary())], names=["doc_id", "shingles"])
+            found = sets.of(block.column("text"))
+            columns = [block.column("doc_id").cast(pa.int64()), pa.array([identity(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "ref", "shingles"])
 
-    held = picked.mapInArrow(arrays, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    held = picked.mapInArrow(arrays, "doc_id long, ref long, shingles binary").dropDuplicates(["doc_id", "ref"])
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "doc_id"], kind="stable", ignore_index=True)
@@ -354,7 +357,7 @@ def verify(docs: DataFrame, members: DataFrame, sets: Sets) -> DataFrame:
         pairs = np.array(tile_links(found, sets.num, sets.den, left), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
 
-    return work.join(held, "doc_id").groupBy("cluster", "b1", "s1", "b2", "s2").applyInPandas(links, "a long, b long")
+    return work.join(held, ["doc_id", "ref"]).drop("ref").groupBy("cluster", "b1", "s1", "b2", "s2").applyInPandas(links, "a long, b long")
 
 
 own_type = "array<struct<b1:int,s1:int,b2:int,s2:int,side:int>>"

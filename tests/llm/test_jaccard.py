@@ -84,6 +84,12 @@ def test_messy_and_empty(messy, empty):
     assert found(jaccard.link_components(empty)) == Counter()
 
 
+def test_two_texts_of_one_id(docs):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(5, a), (5, b), (7, a + " x"), (8, b + " y"), (9, prose(3, 60))]
+    assert {t[2] for t in found(jaccard.link_components(docs(*rows), 4, 85, 100)) if t[0] in (7, 8)} == {5}
+
+
 def test_linked_sets_share_enough_keys():
     rng = np.random.default_rng(1)
     sets = jaccard.Sets(4, 80, 100)
