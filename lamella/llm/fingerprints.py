@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import GOLDEN, M1, M2, mix64, split_words, text_blocks
+from lamella.llm.common import GOLDEN, M1, M2, mix64, split_words, text_blocks, text_rows
 from lamella.llm.jaccard import Sets, link_sets
 
 #: Anchors, fixed: very common words of English, German, French and Spanish.
@@ -94,34 +94,48 @@ class SpotSets(Sets):
 
 
 def near_groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) by exact Jaccard of SpotSigs sets, partitioned by length."""
+    """(doc_id, n_shingles, component_id) by exact Jaccard of SpotSigs sets, partitioned by length.
+
+    Nulls, empty texts, repeated rows and empty tables are treated as in jaccard.link_components.
+    """
     return link_sets(docs, SpotSets(1, num, den))
 
 
 def in_order(docs: DataFrame) -> DataFrame:
     """(bucket, place, doc_id, text): ranges of ascending doc_id, each with the first row of the next one last.
 
-    place is 0 for a range's own rows, 1 for the row that follows them. Range bounds and each range's
-    first id come from the ids alone; the text is shuffled once. The last range is followed by the
+    place is 0 for a range's own rows, 1 for the row that follows them. Each range is a partition. Range
+    bounds and each range's first id come from the ids alone; the text is shuffled once. The last range is followed by the
     first row of all. Null ids come first.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("at"))
-    quantiles = ids.select(F.percentile_approx("at", [i / (4 * parts) for i in range(1, 4 * parts)], 20_000)).first()[0]
-    bounds = sorted(set(quantiles or []))
     at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
-    bucket = F.size(F.filter(edges, lambda b: b < F.col("at")))
-    firsts = sorted(tuple(r) for r in ids.distinct().select(bucket.alias("b"), "at").groupBy("b").agg(F.min("at")).collect())
-    rows = docs.select("doc_id", "text", at.alias("at")).withColumn("own", bucket)
-    if not firsts:
-        return rows.select(F.col("own").alias("bucket"), F.lit(0).alias("place"), "doc_id", "text")
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
-    follows = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    sent = F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("place")), F.struct(follows[F.col("at")].cast("int").alias("bucket"), F.lit(1).alias("place")))
-    rows = rows.select("doc_id", "text", F.explode(F.filter(sent, lambda s: s["bucket"].isNotNull())).alias("to"))
-    return rows.select("to.*", "doc_id", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", "place", "doc_id", "text")
+    ids = docs.select(at.alias("at"))
+    quantiles = ids.select(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0]
+    bounds = np.array(sorted(set(quantiles or [])), np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(at: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, at.to_numpy(), side="left").astype(np.int32))
+
+    # one id for each range, and each range's number, ascending: as many as there are ranges
+    found = ids.select(bucket("at").alias("b"), "at").groupBy("b").agg(F.min("at")).collect()
+    firsts = sorted((first, b) for b, first in found)
+    starts = np.array([first for first, _ in firsts], np.int64)
+    before = np.array([firsts[k - 1][1] for k in range(len(firsts))], np.int32)
+
+    @F.pandas_udf("array<int>")
+    def ranges(at: pd.Series) -> pd.Series:
+        """The row's own range, then the one that it follows, if it is the first of its own."""
+        at = at.to_numpy()
+        own = np.searchsorted(bounds, at, side="left").astype(np.int32)
+        k = np.minimum(np.searchsorted(starts, at), len(starts) - 1)
+        return pd.Series([[o, before[i]] if starts[i] == a else [o] for o, i, a in zip(own, k, at, strict=True)])
+
+    rows = text_rows(docs).withColumn("to", ranges(at))
+    rows = rows.select("doc_id", "text", F.posexplode("to").alias("place", "bucket"))
+    return rows.select("bucket", "place", "doc_id", "text").repartitionById(parts, "bucket").sortWithinPartitions("bucket", "place", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
