@@ -80,13 +80,17 @@ class Sets:
         return (self.den - self.num) * total // (self.den + self.num)
 
     def keys(self, s: np.ndarray) -> list[tuple[np.ndarray, int]]:
-        """Keys of a set by band, and how many of them any linked set has at least.
+        """Groups of keys of a set, and how many of a group's keys a linked set has at least.
+
+        Any two linked sets have groups that share as many keys as both say.
 
         Hash space is dealt to m segments, clearly more than two linked sets with the smaller one in
         the band can differ in, so at least m - allowed segments hold the same shingles in both. A set
         gives a key for each segment with shingles, in its own band and in each lower one that a
-        linked set can lie in. Where so many segments are empty that two sets might agree in empty
-        ones alone, those give keys as well.
+        linked set can lie in; a linked set has all but allowed of them. A sparse set, with no more
+        than allowed such segments, may share one alone with a set that isn't sparse, so it is held to
+        one. Two sparse sets may agree in empty segments alone, m - allowed of them at least, so
+        sparse sets give keys for those as well, which are counted apart.
         """
         n = len(s)
         out = []
@@ -98,12 +102,10 @@ class Sets:
             first = np.concatenate(([0], np.flatnonzero(segment[1:] != segment[:-1]) + 1))
             full = segment[first]
             value = np.add.reduceat(mix64(s ^ M1), first)
-            common = m - allowed - (m - len(full))
-            if common < 1:
+            out.append((mix64(value + mix64(full * GOLDEN + salt(band))), max(1, len(full) - allowed)))
+            if len(full) <= allowed:
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), full)
-                full, value = np.concatenate((full, empty)), np.concatenate((value, np.zeros(len(empty), np.uint64)))
-                common = m - allowed
-            out.append((mix64(value + mix64(full * GOLDEN + salt(band))), common))
+                out.append((mix64(mix64(empty * GOLDEN + salt(band))), m - allowed))
         return out
 
 

@@ -106,6 +106,31 @@ def test_linked_sets_share_enough_keys():
             assert any(s >= max(ca, cb) > 0 for s, ca, cb in shared)
 
 
+def test_linked_small_sets_keep_a_key_in_common():
+    """The rarest keys of two linked sets meet at every small size, whatever else is there."""
+    rng = np.random.default_rng(5)
+
+    def kept(own, often):
+        out = set()
+        for keys, common in own:
+            shared = sorted((often[k], k) for k in keys.tolist() if often[k] > 1)
+            out.update(k for _, k in shared[: max(0, len(shared) - common + 1)])
+        return out
+
+    for num, others in ((80, 0), (80, 12), (85, 0), (60, 3)):
+        sets = jaccard.Sets(4, num, 100)
+        crowd = [sets.keys(rng.integers(0, 2**64, int(rng.integers(3, 14)), dtype=np.uint64)) for _ in range(others)]
+        base = Counter(k for own in crowd for keys, _ in own for k in keys.tolist())
+        for n in range(1, 31):
+            for _ in range(15):
+                x = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+                for less in range(n - sets.least(n) + 1):
+                    y = np.sort(rng.choice(x, n - less, replace=False))
+                    own = sets.keys(x), sets.keys(y)
+                    often = base + Counter(k for o in own for keys, _ in o for k in keys.tolist())
+                    assert kept(own[0], often) & kept(own[1], often), (num, others, n, less)
+
+
 def test_bitmap_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(2)
     found = [np.unique(rng.integers(0, 3000, int(rng.integers(1, 900)), dtype=np.uint64)) for _ in range(30)]
