@@ -105,8 +105,11 @@ class WordEncoder:
                 new.append(w)
             stems.update(dict.fromkeys(new))
             self.encode_new(list(stems))
+            # a stem that isn't one run (lower-casing and composing can give marks) may join the marks that follow
+            joining = [w for w, stem, _ in compound if np.count_nonzero(self.last[np.frombuffer(recent[stem], "<u4")]) != 1]
             for w, stem, marks in compound:
                 recent[w] = recent[stem] + recent[marks]
+            self.encode_new(joining)
         return [recent[w] for w in words]
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:

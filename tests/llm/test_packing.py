@@ -81,6 +81,17 @@ def test_ids_are_the_librarys():
             assert got == want[:-1].tobytes()
 
 
+def test_letters_that_give_marks_join_the_marks_behind():
+    texts = ["RESMİ. resmi. RESMİ!? İ;", "क़. फ़, ड़ शाड़;", "שׁ. בּ:", "İSTANBUL. TARİHİ, DERSİ:", "RESMİ, RESMİ RESMİ."]
+    encoder = packing.WordEncoder(FILE)
+    for _ in range(2):
+        for got, want in zip(encoder.encode(pa.array(texts, pa.large_string())), expected(texts), strict=True):
+            assert got == want[:-1].tobytes()
+    words = [a + chr(c) + "." for c in range(0x110000) if chr(c).isalpha() for a in ("", "a")]
+    for w, got, want in zip(words, packing.WordEncoder(FILE).word_ids(words), expected(words), strict=True):
+        assert got == want[:-1].tobytes(), w
+
+
 def test_small_memory_gives_the_same_ids():
     texts = [prose(i, 200) + ". Word, word!" for i in range(8)]
     encoder = packing.WordEncoder(FILE, 50)
