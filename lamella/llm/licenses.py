@@ -18,18 +18,26 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("notice-CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("notice-reserved", "All rights reserved."),
 )
+#: Known texts that the SQL doesn't have.
+WHOLE: tuple[tuple[str, str], ...] = (
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004 Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+)
 #: Spellings taken for the same word.
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("noninfringement", "non infringement"), ("whilst", "while"), ("favour", "favor"), ("organisation", "organization"), ("authorised", "authorized"))
-#: A line that starts, marks aside, with one of these is a copyright line.
+#: The SQL's copyright lines: those that start, marks aside, with one of these, running text as well.
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n©]*(copyright\b|©|\(c\))[^\n]*"
+#: Words that follow `copyright` in running text, where a notice has (c), the sign, a year or a holder.
+NOT_HOLDER = r"(notices?|holders?|owners?|ownership|laws?|licen[cs]e[sd]?|statements?|interests?|permissions?|protection|claims?|disclaimers?|patents?|trademarks?|infringement|treat(y|ies)|and|or|in|is|on|to|under|(the|this)\s+(software|library|program|work))"
+#: A line that starts, marks aside, with a copyright notice.
+COPYRIGHT_NOTICE = r"(^|\n)[^\p{L}\p{N}\n©]*(copyright\b(?=[^\n]*[\p{L}\p{N}©])(?![^\p{L}\p{N}\n]*" + NOT_HOLDER + r"\b)|©|\(c\))[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case; no copyright lines; marks and white space as single spaces; one spelling for each word."""
+    """Lower case; no lines that are copyright notices; marks and white space as single spaces; one spelling for each word."""
     lower = F.lower(F.coalesce(text, F.lit("")))
     # two passes: copyright lines that follow one another share a line break
-    bare = F.when(lower.rlike(r"copyright|©|\(c\)"), F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_LINE, "\n"), COPYRIGHT_LINE, "\n")).otherwise(lower)
+    bare = F.when(lower.rlike(r"copyright|©|\(c\)"), F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_NOTICE, "\n"), COPYRIGHT_NOTICE, "\n")).otherwise(lower)
     spaced = F.concat(F.lit(" "), F.regexp_replace(bare, NOT_WORD, " "), F.lit(" "))
     for old, new in SPELLINGS:
         spaced = F.replace(spaced, F.lit(f" {old} "), F.lit(f" {new} "))
@@ -40,7 +48,7 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN + WHOLE) -> DataFrame:
     """(digest, license): one row per distinct digest of the known texts; the first id in order wins."""
     rows = spark.createDataFrame(list(known), "license string, text string").coalesce(1)  # a short list: no exchange
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
@@ -49,7 +57,7 @@ def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOW
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per row of docs: doc_id, digest of the whole canonical text, license (null where unknown).
 
-    The known digests default to KNOWN, a fixed list; a table given instead is broadcast only if
+    The known digests default to KNOWN and WHOLE, fixed lists; a table given instead is broadcast only if
     Spark finds it small. Null text counts as empty; texts with nothing left after normalisation are
     no licence. Null ids and repeated rows are scanned like any others; an empty table gives an empty
     result. Other columns of docs are not read.

@@ -63,6 +63,30 @@ def test_licenses(docs, messy, empty):
     assert licenses.scan(messy).count() == messy.count() and licenses.scan(empty).collect() == []
 
 
+def test_licenses_in_their_usual_wrapping(docs):
+    known = dict(licenses.KNOWN)
+    isc = known["ISC"].replace("ISC License ", "ISC License\n\nCopyright (c) 2020, Some One\nCopyright Other Person <a@b.c>\n\n").replace("above copyright notice", "above\ncopyright notice").replace("copies. THE", "copies.\n\nTHE")
+    mit = known["MIT"].replace("MIT License ", "MIT License\n\nCopyright © 2020\n© Some One\n\n").replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS").replace("above copyright notice", "above\n * copyright notice")
+    wtfpl = """            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+                    Version 2, December 2004
+
+ Copyright (C) 2004 Sam Hocevar <sam@hocevar.net>
+
+ Everyone is permitted to copy and distribute verbatim or modified
+ copies of this license document, and changing it is allowed as long
+ as the name is changed.
+
+            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+   TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+  0. You just DO WHAT THE FUCK YOU WANT TO.
+"""
+    wrapped = [(name, text[:at] + "\n" + text[at + 1 :]) for name, text in licenses.KNOWN + licenses.WHOLE for at in (m.start() for m in re.finditer(" ", text))]
+    texts = [("ISC", isc), ("MIT", mit), ("WTFPL", wtfpl), ("WTFPL", known["WTFPL"]), *wrapped]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs(*((i, t) for i, (_, t) in enumerate(texts)))).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(texts)}
+
+
 def slow_signatures(text):
     words = [w for w in (re.sub(r"[^\w]|_", "", w.lower()) for w in re.findall(r"[^\x20\x09-\x0D]+", text)) if w]
     out, anchors = set(), set(fingerprints.ANCHORS)
