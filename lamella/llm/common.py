@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,10 +39,42 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: The frames that were cut within `scratch`, if any is open.
+_made: list[DataFrame] | None = None
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    found = df.checkpoint(eager=True)
+    if _made is not None:
+        _made.append(found)
+    return found
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete what `cut` wrote for df, once nothing that is still to run reads it."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        drop_written(df.sparkSession, file.get())
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Everything that is cut within goes at its end."""
+    global _made
+    before, _made = _made, []
+    try:
+        yield
+    finally:
+        made, _made = _made, before
+        for df in made:
+            drop_cut(df)
+
+
+def row_columns(docs: DataFrame) -> list[Column]:
+    """All columns of docs, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:

@@ -69,6 +69,7 @@ def test_equals_brute_force(docs, k, num, den, seed):
 
 def test_tiles_of_split_clusters(docs, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 11)
     rows = copies(5, 12)
     words = prose(77, 150).split()
     for i in range(40):
@@ -176,3 +177,60 @@ def test_components_of_random_graph(spark):
         root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
     assert all(got.get(x, x) == find(x) for x in root)
+
+
+def test_an_id_with_several_texts_is_one_node(docs):
+    a, b = prose(1, 60), prose(2, 60)
+    words = a.split()
+    for second in (a, " ".join([*words[:30], "changed", *words[31:]])):
+        rows = [(5, a), (8, second), (8, b), (3, b + " x"), (3, None), (9, prose(3, 60)), (11, prose(4, 50)), (11, ""), (11, prose(5, 50))]
+        got = found(jaccard.link_components(docs(*rows), 4, 85, 100))
+        assert got == brute(rows, 4, 85, 100)
+        assert {t[2] for t in got if t[0] in (3, 5, 8)} == {3}
+
+
+def test_hot_keys_are_dealt_by_set(docs, monkeypatch):
+    """A passage in every document, and a group of near copies, whose keys are over the bound."""
+    monkeypatch.setattr(jaccard, "HOT_POSTINGS", 20)
+    monkeypatch.setattr(jaccard, "MOST_HOT", 10**9)
+    monkeypatch.setattr(jaccard, "BUCKET_POSTINGS", 200)
+    line, words = prose(99, 6), prose(77, 90).split()
+    rows = [(i, f"{line}\n{prose(500 + i, 8 + i)}") for i in range(60)]
+    for i in range(60):
+        own = list(words)
+        own[i + 1] = f"new{i}"
+        rows.append((5000 + i, " ".join(own)))
+    df = docs(*rows)
+    sets = jaccard.Sets(4, 85, 100)
+    postings = jaccard.sketch(df, sets).where("keys is not null")
+    assert len(jaccard.hot_keys(postings, 10**4)[0])
+    assert found(jaccard.link_components(df, 4, 85, 100)) == brute(rows, 4, 85, 100)
+
+
+def test_keep_one_treats_texts_of_one_id_apart(docs):
+    t, u = prose(1, 40), prose(2, 40)
+    df = docs((5, t), (8, t), (8, u), (8, u), (8, u.upper()), (9, t + " x"), (None, t), (4, ""), (4, ""), (4, None))
+    assert Counter((r["doc_id"], (r["text"] or "").lower()) for r in jaccard.keep_one(df).collect()) == Counter({(5, t): 1, (8, u): 1, (None, t): 1, (4, ""): 2})
+    plain = docs((5, t), (8, t), (9, u), (None, u), (4, ""), (3, None))
+    assert Counter(r["doc_id"] for r in jaccard.keep_one(plain).collect()) == Counter({5: 1, 9: 1, None: 1, 4: 1, 3: 1})
+
+
+def test_sets_are_told_by_two_hashes():
+    found = [np.array(v, np.uint64) for v in ([], [1], [1, 2], [2], [], [3, 5, 9])]
+    refs, checks = jaccard.identities(found)
+    assert refs[0] == refs[4] == checks[0] == 0
+    assert len(set(refs.tolist())) == len(set(checks.tolist())) == 5
+    alone = [jaccard.identities([s]) for s in found]
+    assert refs.tolist() == [a[0][0] for a in alone] and checks.tolist() == [a[1][0] for a in alone]
+
+
+def test_sizes_of_neighbouring_bands_meet(docs, monkeypatch):
+    """Near copies whose sizes lie on both sides of a band's edge, in blocks of few sets."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    rows = []
+    for g, size in enumerate((11, 36, 52, 73, 151)):
+        words = prose(900 + g, size + 8).split()
+        rows += [(100 * g + i, " ".join(words[: size + i])) for i in range(8)]
+    sets = jaccard.Sets(4, 60, 100)
+    assert all(len({jaccard.floor(jaccard.log(len(s)) / -jaccard.log(jaccard.BAND_RATIO)) for s in sets.of(pa.array([t for i, t in rows if i // 100 == g], pa.large_string()))}) > 1 for g in range(5))
+    assert found(jaccard.link_components(docs(*rows), 4, 60, 100)) == brute(rows, 4, 60, 100)
