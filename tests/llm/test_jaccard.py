@@ -228,7 +228,7 @@ def test_sizes_of_neighbouring_bands_meet(docs, monkeypatch):
     """Near copies whose sizes lie on both sides of a band's edge, in blocks of few sets."""
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
     rows = []
-    for g, size in enumerate((11, 36, 52, 73, 151)):
+    for g, size in enumerate((11, 34, 50, 72, 147)):
         words = prose(900 + g, size + 8).split()
         rows += [(100 * g + i, " ".join(words[: size + i])) for i in range(8)]
     sets = jaccard.Sets(4, 60, 100)
