@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,6 @@ FEATURES = 4096
 GRAMS = (1, 2, 3)
 #: Training rows of each language: centroids are fitted on about this many, drawn by a hash of the id.
 ROWS_PER_LANGUAGE = 400
-#: Languages that are learned at most (those with the most rows), and training rows of all together.
-LANGUAGES = 200
-ROWS = 16_000
 CENTROIDS = 4
 #: A text of fewer letters is held to a bound lower in proportion, as its cosine says less.
 ENOUGH_LETTERS = 200
@@ -109,73 +107,74 @@ def spherical_means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.nd
     return centroids
 
 
-def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Rows of docs and, for each feature, how many of them have it: summed by partition, then by feature."""
+def frequencies(docs: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """Rows of each language, and for each feature how many rows have it: summed by partition, then by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FEATURES + 1, np.int64)
+        total, rows = np.zeros(FEATURES, np.int64), Counter()
         for block in text_blocks(batches, block_chars=1 << 20):
+            rows.update(block.column("lang").to_pylist())
             texts = block.column("text").to_pylist()
             for start in range(0, len(texts), 256):
-                counts, _ = grams(texts[start : start + 256])
-                total[:-1] += (counts > 0).sum(axis=0)
-                total[-1] += len(counts)
-        yield pa.record_batch([pa.array(np.arange(FEATURES + 1)), pa.array(total)], names=["feature", "n"])
+                total += (grams(texts[start : start + 256])[0] > 0).sum(axis=0)
+        yield pa.record_batch([pa.nulls(FEATURES, pa.string()), pa.array(np.arange(FEATURES)), pa.array(total)], names=["lang", "feature", "n"])
+        yield pa.record_batch([pa.array(list(rows), pa.string()), pa.nulls(len(rows), pa.int64()), pa.array(rows.values(), pa.int64())], names=["lang", "feature", "n"])
 
-    found = text_rows(docs, "text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(FEATURES + 1, np.int64)
-    for feature, n in found:
-        out[feature] = n
-    return int(out[-1]), out[:-1]
+    found = text_rows(docs, "lang", "text").mapInArrow(run, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(FEATURES, np.int64)
+    for _, feature, n in found:
+        if feature is not None:
+            out[feature] = n
+    return {lang: n for lang, feature, n in found if feature is None}, out
 
 
 def fit(docs: DataFrame, seed: int = 5, reject_ratio: float = 0.25) -> Model:
-    """Learn from rows with text and lang whose fold isn't 2.
+    """Learn from rows with text and lang whose fold isn't 2; every value of lang is learned.
 
-    Document frequencies are counted over all those rows. Centroids are fitted on a bounded sample of
-    about ROWS_PER_LANGUAGE rows of each of at most LANGUAGES languages (ROWS in all), drawn by a
-    hash of the id.
+    Document frequencies are counted over all those rows. Centroids are fitted in the executors,
+    language by language, on a bounded sample of about ROWS_PER_LANGUAGE rows of each, drawn by a hash
+    of id and text, copies taken once; a language that the draw leaves without a row is fitted on its row with the first hash.
+    The driver gets CENTROIDS centroids a language, so the model grows with the number of languages alone.
     A text is rejected when its cosine is below reject_ratio times the least cosine of the sample's
     rows with the same centroid (less for texts below ENOUGH_LETTERS).
     """
-    train = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != "und") & (fold(F.col("doc_id")) != 2))
-    common = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    n, having = frequencies(train)
-    idf = np.log((1 + n) / (1 + having)).astype(np.float32) + np.float32(0.1)
-    if not common:
-        return Model([], idf, np.empty((0, FEATURES)), np.empty(0, int), np.empty(0))
-    names = sorted(r["lang"] for r in common)
-    each = min(ROWS_PER_LANGUAGE, ROWS // len(common))
-    share = F.create_map(*[F.lit(v) for r in common for v in (r["lang"], min(1.0, each / r["count"]))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = train.where(draw < share[F.col("lang")])
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), 128):
-                part = pdf.iloc[start : start + 128]
-                counts, _ = grams(part["text"].tolist())
-                yield pd.DataFrame({"lang": part["lang"].to_numpy(), "counts": [np.minimum(c, 65535).astype(np.uint16).tobytes() for c in counts]})
-
-    by_lang: dict[str, list[np.ndarray]] = {}
-    for lang, counts in text_rows(rows, "lang", "text").mapInPandas(counted, "lang string, counts binary").collect():
-        by_lang.setdefault(lang, []).append(np.frombuffer(counts, np.uint16).astype(np.float32))
-    model = Model(names, idf, np.empty((0, FEATURES)), np.empty(0, int), np.empty(0))
-    centroids, of, least = [], [], []
-    for k, name in enumerate(names):
-        if name in by_lang:
-            x = model.vectors(np.stack(by_lang.pop(name)))
-            found = spherical_means(x, CENTROIDS, seed)
-            cosine = x @ found.T
-            best = cosine.argmax(axis=1)
-            low = [cosine[best == j, j].min() if (best == j).any() else 1.0 for j in range(len(found))]
-            centroids.append(found)
-            of += [k] * len(found)
-            least += [reject_ratio * v for v in low]
-    if centroids:
-        model.centroids, model.of, model.reject_below = np.concatenate(centroids).astype(np.float32), np.array(of), np.array(least)
-    else:
-        model.names = []
+    train = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
+    rows, having = frequencies(train)
+    idf = np.log((1 + sum(rows.values())) / (1 + having)).astype(np.float32) + np.float32(0.1)
+    model = Model([], idf, np.empty((0, FEATURES)), np.empty(0, int), np.empty(0))
+    if not rows:
+        return model
+    spark = docs.sparkSession
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    shares = spark.createDataFrame([(lang, min(1.0, ROWS_PER_LANGUAGE / n)) for lang, n in rows.items()], "lang string, share double")
+    drawn = cut(train.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", "text").dropDuplicates())
+    missed = set(rows) - {r["lang"] for r in drawn.select("lang").distinct().collect()}
+    if missed:
+        rest = train.join(F.broadcast(spark.createDataFrame([(lang,) for lang in missed], "lang string")), "lang")
+        drawn = drawn.unionByName(rest.groupBy("lang").agg(F.min_by("text", F.struct(place, "text")).alias("text")))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, block_chars=1 << 20):
+            texts = block.column("text").to_pylist()
+            for start in range(0, len(texts), 128):
+                counts, _ = grams(texts[start : start + 128])
+                yield pa.record_batch([block.column("lang").slice(start, 128), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
+
+    def centred(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = model.vectors(np.frombuffer(b"".join(sorted(pdf["counts"])), np.float32).reshape(-1, FEATURES)).astype(np.float32)
+        found = spherical_means(x, CENTROIDS, seed)
+        cosine = x @ found.T
+        best = cosine.argmax(axis=1)
+        low = [float(cosine[best == j, j].min()) if (best == j).any() else 1.0 for j in range(len(found))]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [c.astype(np.float32).tobytes() for c in found], "least": low})
+
+    fitted = text_rows(drawn, "lang", "text").mapInArrow(counted, "lang string, counts binary").groupBy("lang").applyInPandas(centred, "lang string, centroid binary, least double").collect()
+    fitted.sort(key=lambda r: (r["lang"], r["centroid"]))
+    model.names = sorted(rows)
+    at = {name: k for k, name in enumerate(model.names)}
+    model.centroids = np.stack([np.frombuffer(r["centroid"], np.float32) for r in fitted])
+    model.of = np.array([at[r["lang"]] for r in fitted])
+    model.reject_below = np.array([reject_ratio * r["least"] for r in fitted])
     return model
 
 
@@ -204,9 +203,9 @@ def languages(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, lang_pred, score, rejected.
 
     Only text is an input of a prediction. Null text and text without a letter are `und`, with score 0,
-    and rejected; other texts get a learned language even where rejected. Rows with a null doc_id are
-    never learnt from and aren't held out; repeated rows are predicted each. With nothing to learn from
-    every row is `und`. An empty table gives an empty result. Other columns of docs are not read.
+    and rejected; other texts get a learned language even where rejected (`und` itself, if rows of
+    that language are given). Rows with a null doc_id are never learnt from and aren't held out;
+    repeated rows are predicted each. With nothing to learn from every row is `und`. An empty table gives an empty result. Other columns of docs are not read.
     """
     model = fit(docs)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
