@@ -61,21 +61,79 @@ def test_tokens(spark):
     assert tokens_of(spark, None) == [] and tokens_of(spark, "nothing") == []
 
 
-def test_mined_rules_block(pages, spark):
+def planted(spark):
     bad = [f"http://spam{i % 3}.net/win/cash{i}" for i in range(60)]
     good = [f"http://good{i % 5}.net/win/{i}" for i in range(60)] + [f"http://good{i % 5}.net/news/cash{i}" for i in range(60)]
-    labelled = spark.createDataFrame([(u, True) for u in bad] + [(u, False) for u in good] + [(None, None)], "url string, bad boolean")
-    rules = urls.mined_rules(labelled, 0.05, 0.9)
-    kept = {frozenset(r["items"]): r["confidence"] for r in rules.collect()}
+    return bad, good, spark.createDataFrame([(u, True) for u in bad] + [(u, False) for u in good] + [(None, None)], "url string, bad boolean")
+
+
+def lower(hits, of, z=1.96):
+    p = hits / of
+    return (p + z * z / (2 * of) - z * (p * (1 - p) / of + z * z / (4 * of * of)) ** 0.5) / (1 + z * z / of)
+
+
+def test_mined_rules_block(pages, spark):
+    bad, good, labelled = planted(spark)
+    kept = {frozenset(r["items"]): r for r in urls.mined_rules(labelled, 15, 0.75).collect()}
     baskets = [(set(tokens_of(spark, u)), u in bad) for u in bad + good]
-    for items, confidence in kept.items():
+    for items, r in kept.items():
         hits = [b for t, b in baskets if items <= t]
-        assert confidence == pytest.approx(sum(hits) / len(hits)) and confidence >= 0.9 and sum(hits) >= 0.05 * 181
+        assert (r["pages"], r["bad_pages"]) == (len(hits), sum(hits)) and r["confidence"] == pytest.approx(sum(hits) / len(hits))
+        assert r["lower"] == pytest.approx(lower(sum(hits), len(hits))) and r["lower"] >= 0.75 and sum(hits) >= 15
+        assert not any(t.startswith("host:") for t in items) or not any(t.startswith("label:") for t in items)
     assert frozenset(["path:cash#", "path:win"]) in kept
     test = ["http://other.net/win/cash7", "http://other.net/win/7", "http://spam1.net/x", "http://example.net/cash3", "http://x.com/fr/win/cash1"]
-    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages(test), labelled, min_support=0.05, min_confidence=0.9).collect()}
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages(test), labelled, min_pages=15, min_confidence=0.75).collect()}
     want = {i: fixed(*parts(u)).verdict if fixed(*parts(u)) else "block" if any(k <= set(tokens_of(spark, u)) for k in kept) else "allow" for i, u in enumerate(test)}
-    assert got == want and got[0] == "block" and got[1] == "allow" and got[4] == "allow"
+    assert got == want and got[0] == "block" and got[1] == "allow" and got[2] == "block" and got[4] == "allow"
+
+
+def test_few_pages_make_no_rule(spark):
+    """The floor is a number of pages, whatever the number of labelled ones."""
+    rows = [(f"http://bad.net/{'abcdefghijklmnopqrs'[i]}", True) for i in range(19)] + [(f"http://good{i}.net/x", False) for i in range(30)]
+    assert urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect() == []
+    rows.append(("http://bad.net/t", True))
+    assert [r["rule"] for r in urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()] == ["host:bad.net"]
+
+
+def test_unsure_and_useless_rules_go(spark):
+    rows = [("http://half.net/a", i % 2 == 0) for i in range(80)] + [(f"http://other{i}.net/b", False) for i in range(80)]
+    assert urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect() == []
+    rows = [(f"http://h{i % 2}.net/a", i % 20 > 1) for i in range(200)]  # nine of ten everywhere
+    assert urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect() == []
+
+
+def test_tokens_that_always_come_together_are_one(spark):
+    """Thirty keys of one form would have a billion combinations."""
+    query = "&".join(f"{chr(97 + i // 6)}{chr(97 + i % 6)}=1" for i in range(30))
+    rows = [(f"http://s{i}.net/form?{query}", True) for i in range(40)] + [(f"http://g{i}.net/other", False) for i in range(40)]
+    assert [r["rule"] for r in urls.mined_rules(spark.createDataFrame(rows, "url string, bad boolean")).collect()] == ["key:aa"]
+
+
+def test_odd_pages(pages, spark, none):
+    _, _, labelled = planted(spark)
+    long = "http://spam1.net/" + "/".join(f"p{i}x" for i in range(4000)) + "?" + "&".join(f"k{i}y=1" for i in range(4000))
+    df = pages([long, None, None, long, "http://spam1.net/win/cash2"]).withColumn("page_id", urls.F.when(urls.F.col("page_id") < 4, urls.F.col("page_id")))
+    got = sorted(((r["page_id"], r["verdict"]) for r in urls.judge(df, labelled, min_pages=15, min_confidence=0.75).collect()), key=str)
+    assert got == [(0, "block"), (1, "allow"), (2, "allow"), (3, "block"), (None, "block")]
+    assert urls.judge(df, none).count() == 5
+
+
+def test_sql_mines_the_same_rules(pages, spark):
+    """The SQL counts every combination; planted pages make rules that both find."""
+    import duckdb
+
+    bad = [f"http://spam{i % 2}.net/win/cash/{i}?id=3" for i in range(70)] + [f"http://mixed.org.uk/a/{70 + i}" for i in range(30)]
+    good = [f"http://good{i % 5}.net/win/{100 + i}" for i in range(60)] + [f"http://mixed.org.uk/b/{160 + i}.html" for i in range(9)] + ["http://other.com/fr/1000", "http://x.org/a/2000", None]
+    df = pages(bad + good)
+    labels = spark.createDataFrame([(i, 0 if i < 90 else 1, int(90 <= i < 100)) for i in range(169)], "doc_id long, quality int, toxic int")
+    got = urls.judge(df, urls.labelled_urls(df, labels))
+    con = duckdb.connect()
+    for name, rows in (("pages", df), ("labels", labels)):
+        con.register(name, rows.toArrow())
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({urls.ORACLE_SQL})").fetchall()
+    assert sorted(map(repr, want)) == sorted(map(repr, (tuple(r) for r in got.collect())))
+    assert len({r["mined"] for r in got.collect()} - {None}) > 1
 
 
 def test_labels_reach_urls(spark, pages):
