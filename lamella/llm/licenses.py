@@ -5,59 +5,102 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Licence texts and notices, by SPDX id where there is one.
-KNOWN: tuple[tuple[str, str], ...] = (
-    ("MIT", 'MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
-    ("ISC", 'ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
-    ("Zlib", "zlib License This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
-    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
-    ("notice-Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("notice-MIT", "Released under the MIT License."),
-    ("notice-GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("notice-CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("notice-CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("notice-reserved", "All rights reserved."),
+#: Licence texts and notices, by SPDX id where there is one, with the titles that they may have or lack.
+KNOWN: tuple[tuple[str, tuple[str, ...], str], ...] = (
+    ("MIT", ('MIT License', 'The MIT License', 'The MIT License (MIT)'), 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("MIT-0", ('MIT No Attribution', "MIT-0"), 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", ('ISC License', 'The ISC License', 'ISC License (ISC)'), 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("ISC", (), 'Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("0BSD", ('BSD Zero Clause License', 'Zero-Clause BSD', "0BSD"), 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("Zlib", ('zlib License', 'The zlib/libpng License'), "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSD-2-Clause", ('BSD 2-Clause License', 'The BSD 2-Clause License', 'Simplified BSD License'), 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", ('BSD 3-Clause License', 'The BSD 3-Clause License', 'New BSD License'), 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("Unlicense", ('The Unlicense', "Unlicense"), 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>'),
+    ("BSL-1.0", ('Boost Software License - Version 1.0 - August 17th, 2003',), 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("WTFPL", (), 'DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004 Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.'),
+    ("WTFPL", (), 'DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO.'),
+    ("header-Apache-2.0", (), 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("header-MPL-2.0", (), 'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.'),
+    ("header-GPL-2.0-or-later", (), 'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.'),
+    ("header-GPL-3.0-or-later", (), 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.'),
+    ("header-AGPL-3.0-or-later", (), 'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.'),
+    ("notice-Apache-2.0", (), 'Licensed under the Apache License, Version 2.0.'),
+    ("notice-MIT", (), 'Released under the MIT License.'),
+    ("notice-GPL-3.0", (), 'This work is licensed under the GNU General Public License, version 3.'),
+    ("notice-CC-BY-NC-4.0", (), 'Licensed under CC BY-NC 4.0.'),
+    ("notice-CC-BY-4.0", (), 'Licensed under CC BY 4.0.'),
+    ("notice-reserved", (), 'All rights reserved.'),
 )
-#: Known texts that the SQL doesn't have.
-WHOLE: tuple[tuple[str, str], ...] = (
-    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004 Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+#: Digests of the canonical forms of long licences as they are published, whole and
+#: without what follows their terms.
+LONG: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847"),
+    ("Apache-2.0", "108490d21e2d3edc9128233e48fabc169818d0c7c5f0bbdd58231a367d2d6c87"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.2", "8d636e2e2f248f9b102e9d9f78337901ec8bca3bfe91434cdcf261a01bf305b1"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GFDL-1.3", "8b8b57bd195ed50d50edb5da1dd173b409fb9b075910c69726be7d0363c40008"),
+    ("GPL-1.0", "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "0d3c171c5c43c8ba6cb7c5850249fc6766dd85cca709271b31086b150e91716e"),
+    ("GPL-3.0", "92f86bbf16b3c7beaf4c1a82ea5d81b358634e9123c8790121ec9fe76310a506"),
+    ("LGPL-2.0", "289c8b47fa0ec7e5f22cd33d32feaa06f015b0f2fdb9ad916979b1011ca8c015"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "5ddd6039d3b090c51328879800301dd19b1ad99e14d00f3c6f221ab45a32db57"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "fbe9a0b96f52e03cb474f9a7083781399c011279e85b548118563ec96e659354"),
+    ("MPL-1.1", "fb84cdb331a381edd811d3017d5400ac2c74d9d8470038f79413ac78b10c2a59"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("MPL-2.0", "2cec6f733aa157c2d0b72e9669f75ca354f332218fcb5a3a885931f385272a04"),
 )
 #: Spellings taken for the same word.
 SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("noninfringement", "non infringement"), ("whilst", "while"), ("favour", "favor"), ("organisation", "organization"), ("authorised", "authorized"))
-#: The SQL's copyright lines: those that start, marks aside, with one of these, running text as well.
-COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n©]*(copyright\b|©|\(c\))[^\n]*"
 #: Words that follow `copyright` in running text, where a notice has (c), the sign, a year or a holder.
 NOT_HOLDER = r"(notices?|holders?|owners?|ownership|laws?|licen[cs]e[sd]?|statements?|interests?|permissions?|protection|claims?|disclaimers?|patents?|trademarks?|infringement|treat(y|ies)|and|or|in|is|on|to|under|(the|this)\s+(software|library|program|work))"
 #: A line that starts, marks aside, with a copyright notice.
-COPYRIGHT_NOTICE = r"(^|\n)[^\p{L}\p{N}\n©]*(copyright\b(?=[^\n]*[\p{L}\p{N}©])(?![^\p{L}\p{N}\n]*" + NOT_HOLDER + r"\b)|©|\(c\))[^\n]*"
+COPYRIGHT_NOTICE = r"(?md)^[^\p{L}\p{N}\n©]*(copyright\b(?=[^\n]*[\p{L}\p{N}©])(?![^\p{L}\p{N}\n]*" + NOT_HOLDER + r"\b)|©|\(c\))[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     """Lower case; no lines that are copyright notices; marks and white space as single spaces; one spelling for each word."""
     lower = F.lower(F.coalesce(text, F.lit("")))
-    # two passes: copyright lines that follow one another share a line break
-    bare = F.when(lower.rlike(r"copyright|©|\(c\)"), F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_NOTICE, "\n"), COPYRIGHT_NOTICE, "\n")).otherwise(lower)
-    spaced = F.concat(F.lit(" "), F.regexp_replace(bare, NOT_WORD, " "), F.lit(" "))
+    bare = F.when(lower.rlike(r"copyright|©|\(c\)"), F.regexp_replace(lower, COPYRIGHT_NOTICE, "")).otherwise(lower)
+    words = F.regexp_replace(bare, NOT_WORD, " ")
+    respelt = words
     for old, new in SPELLINGS:
-        spaced = F.replace(spaced, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(F.regexp_replace(spaced, " +", " "))
+        respelt = F.regexp_replace(respelt, f"(?<![^ ]){old}(?![^ ])", new)
+    return F.trim(F.when(words.rlike("|".join(old for old, _ in SPELLINGS)), respelt).otherwise(words))
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN + WHOLE) -> DataFrame:
-    """(digest, license): one row per distinct digest of the known texts; the first id in order wins."""
-    rows = spark.createDataFrame(list(known), "license string, text string").coalesce(1)  # a short list: no exchange
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+def texts(known: tuple[tuple[str, tuple[str, ...], str], ...] = KNOWN) -> list[tuple[str, str]]:
+    """(license, text) of each known text, without a title and with each of its titles."""
+    return [(name, f"{title}\n{body}") for name, titles, body in known for title in ("", *titles)]
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license): one row per distinct digest of the known texts (KNOWN and LONG by default); the first id in order wins."""
+    rows = spark.createDataFrame(texts() if known is None else known, "license string, text string").coalesce(1)  # a short list: no exchange
+    found = rows.select(digest(F.col("text")).alias("digest"), "license")
+    if known is None and LONG:
+        found = found.unionByName(spark.createDataFrame(list(LONG), "license string, digest string")).coalesce(1)
+    return found.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Per row of docs: doc_id, digest of the whole canonical text, license (null where unknown).
 
-    The known digests default to KNOWN and WHOLE, fixed lists; a table given instead is broadcast only if
+    The known digests default to those of KNOWN and LONG, fixed lists; a table given instead is broadcast only if
     Spark finds it small. Null text counts as empty; texts with nothing left after normalisation are
     no licence. Null ids and repeated rows are scanned like any others; an empty table gives an empty
     result. Other columns of docs are not read.
@@ -69,23 +112,27 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return docs.select("doc_id", digest(F.col("text")).alias("digest")).join(known, F.col("digest") == F.col("known_digest"), "left").select("doc_id", "digest", "license")
 
 
-def _sql_text(text: str) -> str:
+def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _sql_canonical(text: str) -> str:
-    line = COPYRIGHT_LINE
-    spaced = f"lower(coalesce({text}, ''))"
-    spaced = f"regexp_replace(regexp_replace({spaced}, '{line}', chr(10), 'g'), '{line}', chr(10), 'g')"
-    spaced = f"' ' || regexp_replace({spaced}, '{NOT_WORD}', ' ', 'g') || ' '"
-    for old, new in SPELLINGS:
-        spaced = f"replace({spaced}, ' {old} ', ' {new} ')"
-    return f"trim(regexp_replace({spaced}, ' +', ' ', 'g'))"
-
-
+#: Line by line and word by word, where the query replaces patterns in whole texts.
 ORACLE_SQL = f"""
-WITH k(license, text) AS (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)})" for a, b in KNOWN)}),
-kd AS (SELECT sha256({_sql_canonical("text")}) AS digest, min(license) AS license FROM k GROUP BY 1),
-d AS (SELECT doc_id, sha256({_sql_canonical("text")}) AS digest FROM documents)
-SELECT doc_id, digest, license FROM d LEFT JOIN kd USING (digest)
+WITH spelling AS (SELECT map([{", ".join(_quoted(a) for a, _ in SPELLINGS)}], [{", ".join(_quoted(b) for _, b in SPELLINGS)}]) AS of_word),
+raw(license, doc_id, text, own) AS (
+  SELECT NULL, doc_id, text, true FROM documents UNION ALL
+  SELECT license, NULL, text, false FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in texts())}) v(license, text)),
+lines AS (SELECT license, doc_id, own, string_split(lower(coalesce(text, '')), chr(10)) AS lines FROM raw),
+kept AS (
+  SELECT license, doc_id, own, array_to_string(list_filter(lines, lambda x:
+    NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}©]*(©|\\(c\\))')
+    AND NOT (regexp_matches(x, '^[^\\p{{L}}\\p{{N}}©]*copyright\\b.*[\\p{{L}}\\p{{N}}©]', 's') AND NOT regexp_matches(x, '^[^\\p{{L}}\\p{{N}}©]*copyright[^\\p{{L}}\\p{{N}}]*{NOT_HOLDER}\\b'))), ' ') AS text
+  FROM lines),
+words AS (SELECT license, doc_id, own, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS words FROM kept),
+digests AS (SELECT license, doc_id, own, len(words) AS n, sha256(array_to_string(list_transform(words, lambda w: coalesce(of_word[w], w)), ' ')) AS digest FROM words, spelling),
+known AS (
+  SELECT digest, min(license) AS license FROM (
+    SELECT digest, license FROM digests WHERE NOT own AND n > 0 UNION ALL
+    SELECT * FROM (VALUES {", ".join(f"({_quoted(b)}, {_quoted(a)})" for a, b in LONG)}) v(digest, license)) GROUP BY digest)
+SELECT d.doc_id, d.digest, k.license FROM digests d LEFT JOIN known k ON d.digest = k.digest WHERE d.own
 """

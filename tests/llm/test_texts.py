@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -54,19 +55,44 @@ def test_token_counts(docs, messy, empty):
     assert tokencount.token_counts(empty, MODEL).collect() == []
 
 
+def body(name):
+    return next(text for known, _, text in licenses.KNOWN if known == name)
+
+
 def test_licenses(docs, messy, empty):
-    mit = dict(licenses.KNOWN)["MIT"]
+    mit = "MIT License\n" + body("MIT")
     texts = [mit, "Copyright (c) 2020 Someone\ncopyright 2021 Else\n\n" + mit.upper(), mit.replace(",", " ;").replace(". ", ".\n\n"), mit + " extra", mit[:-60], "all RIGHTS reserved", "Released under the MIT Licence!", "", None, "(c) X", "copyrighted matter"]
     got = {r["doc_id"]: r["license"] for r in licenses.scan(docs(*enumerate(texts))).collect()}
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: None, 4: None, 5: "notice-reserved", 6: "notice-MIT", 7: None, 8: None, 9: None, 10: None}
-    assert len({r["digest"] for r in licenses.scan(docs((1, "The Licence, favours"), (2, "the LICENSE favours"), (3, "the license  favours."))).collect()}) == 1
+    assert len({r["digest"] for r in licenses.scan(docs((1, "The Licence licence, favours"), (2, "the LICENSE license favours"), (3, "the license  licence favours."))).collect()}) == 1
     assert licenses.scan(messy).count() == messy.count() and licenses.scan(empty).collect() == []
 
 
+def test_every_known_text_hits(docs):
+    """Each with each title and a copyright line, wrapped at some width, in capitals."""
+    import textwrap
+
+    known = licenses.texts()
+    assert len({name for name, _ in known}) >= 15
+    own = [(name, "Copyright (c) 2024 Some One and others\n" + textwrap.fill(text, 40 + i % 37)) for i, (name, text) in enumerate(known)] + [(name, text.upper()) for name, text in known]
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs(*((i, t) for i, (_, t) in enumerate(own)))).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(own)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence files")
+def test_long_licenses_hit(docs):
+    folder = "/usr/share/common-licenses/"
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "GFDL-1.3": "GFDL-1.3", "BSD-3-Clause": "BSD"}
+    texts = {name: open(folder + f, encoding="utf-8").read() for name, f in files.items() if os.path.exists(folder + f)}
+    rows = [(i, form(t)) for i, t in enumerate(texts.values()) for form in (str, str.lower, lambda t: re.sub(r"[ \t]+", " ", t))]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs(*rows)).collect()}
+    assert got == set(enumerate(texts))
+    assert {r["license"] for r in licenses.scan(docs((1, texts["GPL-3.0"].replace("free software", "gratis software")))).collect()} == {None}
+
+
 def test_licenses_in_their_usual_wrapping(docs):
-    known = dict(licenses.KNOWN)
-    isc = known["ISC"].replace("ISC License ", "ISC License\n\nCopyright (c) 2020, Some One\nCopyright Other Person <a@b.c>\n\n").replace("above copyright notice", "above\ncopyright notice").replace("copies. THE", "copies.\n\nTHE")
-    mit = known["MIT"].replace("MIT License ", "MIT License\n\nCopyright © 2020\n© Some One\n\n").replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS").replace("above copyright notice", "above\n * copyright notice")
+    isc = ("ISC License\n\nCopyright (c) 2020, Some One\nCopyright Other Person <a@b.c>\n\n" + body("ISC")).replace("above copyright notice", "above\ncopyright notice").replace("copies. THE", "copies.\n\nTHE")
+    mit = ("MIT License\n\nCopyright © 2020\n© Some One\n\n" + body("MIT")).replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS").replace("above copyright notice", "above\n * copyright notice")
     wtfpl = """            DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
                     Version 2, December 2004
 
@@ -81,10 +107,23 @@ def test_licenses_in_their_usual_wrapping(docs):
 
   0. You just DO WHAT THE FUCK YOU WANT TO.
 """
-    wrapped = [(name, text[:at] + "\n" + text[at + 1 :]) for name, text in licenses.KNOWN + licenses.WHOLE for at in (m.start() for m in re.finditer(" ", text))]
-    texts = [("ISC", isc), ("MIT", mit), ("WTFPL", wtfpl), ("WTFPL", known["WTFPL"]), *wrapped]
+    wrapped = [(name, text[:at] + "\n" + text[at + 1 :]) for name, _, text in licenses.KNOWN for at in (m.start() for m in re.finditer(" ", text))]
+    texts = [("ISC", isc), ("MIT", mit), ("WTFPL", wtfpl), ("WTFPL", body("WTFPL")), *wrapped]
     got = {r["doc_id"]: r["license"] for r in licenses.scan(docs(*((i, t) for i, (_, t) in enumerate(texts)))).collect()}
-    assert got == {i: name for i, (name, _) in enumerate(texts)}
+    assert {texts[i][0]: texts[i][1] for i in got if got[i] != texts[i][0]} == {}
+
+
+def test_license_sql_finds_the_same(docs, messy):
+    import duckdb
+
+    con = duckdb.connect()
+    mit = body("MIT")
+    texts = [t for _, t in licenses.texts()] + ["Copyright 2020 X\ncopyright holders\n" + mit, "(c) a\n\n© b\n** Copyright: c\n" + mit, "licence licence", "copyright\nlaw of licences", "Copyright\n2020", mit + "\n(c)", "the noninfringement"]
+    for df in (docs(*enumerate(texts)), messy):
+        con.register("documents", df.select("doc_id", "text").toArrow())
+        want = con.execute(licenses.ORACLE_SQL).fetchall()
+        got = [(r["doc_id"], r["digest"], r["license"]) for r in licenses.scan(df).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
 def slow_signatures(text):
