@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,41 +102,59 @@ def near_groups(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     return link_sets(docs, SpotSets(1, num, den))
 
 
+LEAST = -(2**63)
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """(bucket, place, doc_id, text): ranges of ascending doc_id, each with the first row of the next one last.
+    """(bucket, place, doc_id, text): ranges of rows in order, each with the first row of the next one last.
 
-    place is 0 for a range's own rows, 1 for the row that follows them. Each range is a partition. Range
-    bounds and each range's first id come from the ids alone; the text is shuffled once. The last range is followed by the
-    first row of all. Null ids come first.
+    The order is by doc_id, nulls first, then by a hash of the text, then by text. place is 0 for a range's own
+    rows, 1 for the row that follows them. Each range is a partition. Range bounds and each range's
+    first row come from the ids, and from the hashes of the few ids that fill a range alone, which are
+    split by hash; the text is shuffled once. The last range is followed by the first row of all.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    ids = docs.select(at.alias("at"))
-    quantiles = ids.select(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0]
-    bounds = np.array(sorted(set(quantiles or [])), np.int64)
+    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
+    hashed = F.xxhash64("text")
+    quantiles = docs.select(at.alias("at")).select(F.percentile_approx("at", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
+    often = Counter(quantiles)
+    large = sorted(i for i, n in often.items() if n > 1)  # fewer than there are ranges
+    pairs = [(i, 2**63 - 1) for i in often]
+    is_large = at.isin(large) if large else F.lit(False)
+    if large:
+        shares = [i / parts for i in range(1, parts)]
+        found = docs.where(is_large).select(at.alias("at"), hashed.alias("hash")).groupBy("at").agg(F.percentile_approx("hash", shares, 100 * parts).alias("q")).collect()
+        pairs += [(r["at"], r["q"][round(k * len(r["q"]) / often[r["at"]]) - 1]) for r in found for k in range(1, often[r["at"]])]
+    pairs = sorted(set(pairs))
+    bounds, bound_hashes = (np.array(c, np.int64) for c in (zip(*pairs, strict=True) if pairs else ([], [])))
+
+    def range_of(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """How many bounds are below each row."""
+        out = np.searchsorted(bounds, ids, side="left")
+        for i in large:
+            own, first, last = ids == i, np.searchsorted(bounds, i, side="left"), np.searchsorted(bounds, i, side="right")
+            out[own] += np.searchsorted(bound_hashes[first:last], hashes[own], side="left")
+        return out.astype(np.int32)
 
     @F.pandas_udf("int")
-    def bucket(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, at.to_numpy(), side="left").astype(np.int32))
+    def bucket(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(range_of(ids.to_numpy(), hashes.to_numpy()))
 
-    # one id for each range, and each range's number, ascending: as many as there are ranges
-    found = ids.select(bucket("at").alias("b"), "at").groupBy("b").agg(F.min("at")).collect()
-    firsts = sorted((first, b) for b, first in found)
-    starts = np.array([first for first, _ in firsts], np.int64)
-    before = np.array([firsts[k - 1][1] for k in range(len(firsts))], np.int32)
+    # the first row of each range, its hash only where the id is split, and each range's number, ascending
+    short = F.when(is_large, hashed).otherwise(F.lit(LEAST)) if large else F.lit(LEAST)
+    keys = docs.select(at.alias("at"), short.alias("hash"))
+    firsts = sorted((r["first"]["at"], r["first"]["hash"], r["b"]) for r in keys.select(bucket("at", "hash").alias("b"), F.struct("at", "hash").alias("key")).groupBy("b").agg(F.min("key").alias("first")).collect())
+    starts = {(i, h): firsts[k - 1][2] for k, (i, h, _) in enumerate(firsts)}
 
     @F.pandas_udf("array<int>")
-    def ranges(at: pd.Series) -> pd.Series:
+    def ranges(ids: pd.Series, hashes: pd.Series) -> pd.Series:
         """The row's own range, then the one that it follows, if it is the first of its own."""
-        at = at.to_numpy()
-        own = np.searchsorted(bounds, at, side="left").astype(np.int32)
-        k = np.minimum(np.searchsorted(starts, at), len(starts) - 1)
-        return pd.Series([[o, before[i]] if starts[i] == a else [o] for o, i, a in zip(own, k, at, strict=True)])
+        own = range_of(ids.to_numpy(), hashes.to_numpy())
+        return pd.Series([[o] if (before := starts.get(key)) is None else [o, before] for o, key in zip(own.tolist(), zip(ids.tolist(), hashes.tolist(), strict=True), strict=True)])
 
-    rows = text_rows(docs).withColumn("to", ranges(at))
-    rows = rows.select("doc_id", "text", F.posexplode("to").alias("place", "bucket"))
-    return rows.select("bucket", "place", "doc_id", "text").repartitionById(parts, "bucket").sortWithinPartitions("bucket", "place", "doc_id", "text")
+    rows = text_rows(docs).select("doc_id", "text", hashed.alias("hash"), F.posexplode(ranges(at, short)).alias("place", "bucket"))
+    return rows.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "place", "doc_id", "hash", "text").select("bucket", "place", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -152,8 +171,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     form, near_next with the next row's text in ascending doc_id; the first row follows the last.
 
     Null text counts as empty; an empty text has the empty fingerprint, which equals itself alone. A
-    null doc_id comes before all others; rows with the same doc_id are ordered by text. A single row
-    is its own next one. An empty table gives an empty result. Other columns of docs are not read.
+    null doc_id comes before all others; rows with the same doc_id are ordered by a hash of the text, then
+    by text. A single row is its own next one. An empty table gives an empty result. Other columns of docs are not read.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 

@@ -165,6 +165,24 @@ def test_fingerprints_of_messy_tables(messy, empty, docs):
     assert r["near_next"] == 1.0 and r["n_chars"] == 27
 
 
+def test_rows_of_one_id_are_spread_and_in_order(docs, spark):
+    """A third of all rows without an id, a third with the same one: by hash of the text, over several ranges."""
+    rows = [(None, f"the river {prose(i, 6)}") for i in range(60)] + [(5, f"a stone {prose(100 + i, 6)}") for i in range(60)] + [(i, f"of cloud {prose(200 + i, 6)}") for i in range(60)]
+    rows += [(9, ""), (9, None), (9, "same words"), (9, "same words")]
+    df = docs(*rows, parts=3)
+    own = fingerprints.in_order(df).where("place = 0").groupBy(fingerprints.F.spark_partition_id()).count().collect()
+    assert len(own) == 4 and max(r["count"] for r in own) < 0.4 * len(rows)
+    hashes = {r["text"]: r["h"] for r in df.select("text", fingerprints.F.xxhash64("text").alias("h")).collect()}
+    order = sorted(((i is not None, i or 0), hashes[t], t or "", i) for i, t in rows)
+    want = []
+    for k, (_, _, text, i) in enumerate(order):
+        after = order[(k + 1) % len(order)][2]
+        n = len(text) // 4
+        want.append((i, len(text), hashlib.sha256((text[: len(text) - n] + after[:n]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.fingerprints(df).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_pruned_likeness():
     a, b = np.arange(10, dtype=np.uint32), np.arange(4, dtype=np.uint32)
     assert fingerprints.likeness(a, b) == 0.4 and fingerprints.likeness(a, b, 0.5) == 0.0
