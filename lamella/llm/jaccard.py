@@ -27,6 +27,8 @@ PART_SETS, SPREAD = 256, 8
 BUCKET_POSTINGS = 1_000_000
 #: Keys with this many postings, or 1/MOST_HOT of all, are hot: they are dealt by set instead of by key.
 HOT_POSTINGS, MOST_HOT = 250_000, 50_000
+#: Tasks that the buckets are dealt to at most, each bucket still a group of its own.
+MOST_TASKS = 20_000
 #: Sets that a task remembers in order not to post copies of them again.
 SEEN = 1_000_000
 #: Ids up to this number are broadcast to pick documents (16 MB at most); more are joined by shuffle.
@@ -222,7 +224,7 @@ def candidates(postings: DataFrame, total: int) -> DataFrame:
     hot, hot_often = hot_keys(postings, total)
     spread = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, -(-total // BUCKET_POSTINGS), min(spread, total // 50_000))
-    tasks = min(buckets, 20_000)
+    tasks = min(buckets, MOST_TASKS)
 
     def is_hot(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(hot):
@@ -280,9 +282,9 @@ def candidates(postings: DataFrame, total: int) -> DataFrame:
         return pd.DataFrame({"a": v, "b": m})
 
     return (
-        postings.mapInArrow(deal, "bucket int, " + POSTINGS).repartition(tasks, "bucket")
-        .groupBy("bucket").applyInPandas(shared, f"bucket int, {POSTINGS}, home int").repartition(tasks, "bucket")
-        .groupBy("bucket").applyInPandas(rarest, "bucket int, " + POSTINGS).repartition(tasks, "bucket")
+        postings.mapInArrow(deal, "bucket int, " + POSTINGS).repartitionById(tasks, F.col("bucket"))
+        .groupBy("bucket").applyInPandas(shared, f"bucket int, {POSTINGS}, home int").repartitionById(tasks, F.col("bucket"))
+        .groupBy("bucket").applyInPandas(rarest, "bucket int, " + POSTINGS).repartitionById(tasks, F.col("bucket"))
         .groupBy("bucket").applyInPandas(stars, "a long, b long")
     )
 
@@ -457,6 +459,8 @@ def verify(docs: DataFrame, members: DataFrame, sets: Sets) -> DataFrame:
     for step in range(1, reach + 1):
         for name, by in ((f"down{step}", step), (f"up{step}", -step)):
             near = near.join(bands.select("cluster", (F.col("band") + by).alias("band"), F.col("salts").alias(name)), ["cluster", "band"], "left")
+    # behind an expression, so that both sides come from exchanges and a band with very many sets can be split
+    near = near.withColumn("cluster", F.col("cluster").bitwiseXOR(F.lit(0).cast("long")))
     placed = sized.join(near, ["cluster", "band"]).withColumn("salt", F.pmod(F.xxhash64("ref"), F.col("salts")).cast("int"))
 
     def tile(low_band: object, low_salt: object, high_band: object, high_salt: object, side: object) -> object:
