@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm import jaccard, language, mixing, packing, quality
 from lamella.llm.catalog import table, tokenizer_file
-from lamella.llm.common import cut, drop_written, written
+from lamella.llm.common import cut, drop_written, scratch, written
 
 #: Sources up to this number are broadcast with their share of the mix; more are joined by shuffle.
 BROADCAST_SOURCES = 10_000
@@ -22,37 +22,56 @@ PACKING_MEMORY_WORDS = 100_000
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated quality is 0.7 or more; all columns stay. Nulls, empty texts: as quality_scores."""
-    model = quality.fit(cut(quality.describe(docs)), table(spark, sf_dir, "labels"))
+    """Documents whose calibrated quality is 0.7 or more; all columns stay.
+
+    The classifier is fitted on documents with a label in `labels` (about quality.LABELLED_ROWS of them at
+    most, drawn by a hash of the id), so every text is described once. Null and empty texts have a score like
+    any other; rows with a null id are scored but never learnt from; repeated rows and ties are scored each.
+    Without usable labels all scores are 0.5 and nothing stays. An empty table gives an empty one.
+    """
+    labels = table(spark, sf_dir, "labels")
+    model = quality.fit(cut(quality.describe(quality.labelled(docs, labels))), labels)
     return quality.keep(docs, model, 0.7)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID doesn't reject (no letter, or far from every centroid); all columns stay."""
+    """Documents that language ID doesn't reject; all columns stay.
+
+    Null texts, empty ones and those without a letter go, as do texts far from every centroid. Rows with a null
+    id or lang are judged but not learnt from; repeated rows and ties are judged each. With nothing to learn
+    from nothing stays. An empty table gives an empty one.
+    """
     return language.keep(docs, language.fit(docs))
 
 
 def join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; documents with a null id and those without words stay.
+    """One document of each group of texts linked on five words at 0.8, that with the smallest id; all columns stay.
 
-    Rows with the same id and text are one document. All columns stay.
+    Ids play no other part: rows of one id with different texts are documents of their own, and rows with
+    the same id and text are one. Rows with a null id stay, as do those without words (once for each id and
+    text). An empty table gives an empty one.
     """
-    found = cut(jaccard.link_components(docs, words=5, num=80, den=100))
-    kept = docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        null = F.col("doc_id").isNull()
-        kept = kept.where(~null).dropDuplicates(["doc_id", "text"]).unionByName(kept.where(null))
-    return kept
+    return jaccard.keep_one(docs, words=5, num=80, den=100)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 2 times); all columns stay."""
+    """Each document as often as the mix takes it (0 to 2 times); all columns stay.
+
+    A null source is a source of its own. Null and empty texts have no words, so they add nothing to their
+    source's target and are repeated like the others of it; a null id counts as the word "null"; rows that are
+    equal in id, text and source have the same place and go together. An empty table gives an empty one.
+    """
     marks = cut(mixing.marks(docs))
     return mixing.repeat(docs, F.broadcast(marks) if marks.count() <= BROADCAST_SOURCES else marks)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents' tokens in sequences of at most 4096."""
+    """Pieces of all documents' tokens in sequences of at most 4096.
+
+    Null and empty texts are the end id alone; null ids and repeated rows are packed like any others, each
+    repetition by itself; equal pieces are dealt in any order. An empty table gives an empty result. Columns
+    are those of packing.pack, others of docs are not read.
+    """
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), memory_words=PACKING_MEMORY_WORDS, keep=False)
 
 
@@ -69,13 +88,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of all stages in turn over sf_dir's documents; each stage but the last is written to the shared folder."""
+    """The rows of all stages in turn over sf_dir's documents.
+
+    Each stage but the last is written to the shared folder, after which what it had cut and what it read goes.
+    """
     docs, path = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        last, path = path, None
-        if name != STAGES[-1][0]:
-            docs, path = written(docs)
-        if last is not None:  # what came of it is written (the last stage cuts its pieces when called)
-            drop_written(spark, last)
+    for _, stage in STAGES[:-1]:
+        with scratch():
+            docs, now = written(stage(spark, docs, sf_dir))
+        if path is not None:
+            drop_written(spark, path)
+        path = now
+    docs = STAGES[-1][1](spark, docs, sf_dir)
+    if path is not None:  # the last stage cuts its pieces when called
+        drop_written(spark, path)
     return docs
