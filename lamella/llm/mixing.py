@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import WORD_PATTERN, cut
+from lamella.llm.common import WORD_PATTERN, cut, row_columns
 
-#: Hex digits of the seeded hash that deal a source's rows to ranges: 4096 ranges for each source.
+#: Rows of a range of a source that are aimed at, and hex digits of the seeded hash that deal rows to ranges at least.
+RANGE_ROWS = 1_000_000
 RANGE_DIGITS = 3
 
 
@@ -41,20 +42,32 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, max_ep
     )
 
 
+def draw_of(seed: Column, doc_id: Column, text: Column) -> Column:
+    """A row's seeded place in its source: a hash of its id and text."""
+    return F.md5(F.concat(seed.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+
+
+def size_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, draw): words of each row and its seeded place in its source."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-        F.md5(key.cast("binary")).alias("draw"),
+        size_of(F.col(text_col)).alias("size"),
+        draw_of(F.lit(seed), F.col(id_col), F.col(text_col)).alias("draw"),
     )
 
 
 def dealt(docs: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float, seed: int) -> DataFrame:
     """Per row: doc_id, source, size, draw, source_size, target, whole (repetitions of all rows), extra (0 or 1)."""
-    rows = cut(sizes(docs, seed)).withColumn("range", F.substring("draw", 1, RANGE_DIGITS))
+    rows = cut(sizes(docs, seed))
+    digits = RANGE_DIGITS  # the result is the same for any number of ranges
+    while rows.count() > RANGE_ROWS * 16**digits:
+        digits += 1
+    rows = rows.withColumn("range", F.substring("draw", 1, digits))
     ranges = cut(rows.groupBy("source", "range").agg(F.sum("size").alias("range_size")))
     goal = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -89,9 +102,10 @@ def mix(docs: DataFrame, **parameters: object) -> DataFrame:
     beyond the remaining target. So a source's taken words miss its target by half a row's size at
     most. Reruns draw the same rows.
 
-    Null text has size 0, a null source is a source of its own (last in order), a null doc_id has the
-    place of the word "null"; repeated rows count as often as they come; equal places are told apart
-    by size. An empty table gives an empty result. Other columns of docs are not read.
+    Null text has size 0, a null source is a source of its own (last in order), a null doc_id counts
+    as the word "null"; a row's place comes from its id and text, so rows that share an id, or have
+    none, are spread as well. Repeated rows count as often as they come; equal ones follow one another,
+    each drawn or not by itself. An empty table gives an empty result. Other columns of docs are not read.
     """
     copies = F.col("whole") + F.col("extra")
     found = dealt(docs, **(DEFAULTS | parameters))
@@ -107,24 +121,22 @@ def marks(docs: DataFrame, **parameters: object) -> DataFrame:
 
 
 def repeat(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """docs with each row as often as the mix takes it, texts unmoved where marks are broadcast.
+    """docs with each row as often as the mix takes it, with all columns, texts unmoved where marks are broadcast.
 
     A source's extra repetitions go to the rows up to its last one in seeded order, so a row's own
-    place tells its number. (Rows with the same id, source and size share a place and go together.)
+    place tells its number. (Equal rows share a place and go together.)
     """
-    size = F.coalesce(F.regexp_count(F.col("d.text"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    key = F.concat(F.col("m.seed").cast("string"), F.lit(":"), F.coalesce(F.col("d.doc_id").cast("string"), F.lit("null")))
-    place = F.struct(F.md5(key.cast("binary")).alias("draw"), size.alias("size"))
+    rows = docs.select(F.struct(row_columns(docs)).alias("row"))
+    place = F.struct(draw_of(F.col("m.seed"), F.col("row.doc_id"), F.col("row.text")).alias("draw"), size_of(F.col("row.text")).alias("size"))
     copies = F.col("m.whole") + F.when(F.col("m.last").isNotNull() & (place <= F.col("m.last")), 1).otherwise(0)
-    joined = docs.alias("d").join(marks.alias("m"), F.col("d.source").eqNullSafe(F.col("m.source")))
-    copy = F.explode(F.array_repeat(F.lit(0), copies.cast("int")))
-    return joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], copy.alias("__copy")).drop("__copy")
+    joined = rows.join(marks.alias("m"), F.col("row.source").eqNullSafe(F.col("m.source")))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")
 
 
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS draw
+         md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS draw
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS position, sum(source_size) OVER ()::DOUBLE AS total FROM s),

@@ -20,6 +20,8 @@ FOURIER = 256
 PARTIAL_SUMS = 8
 #: Score bins of the calibration.
 BINS = 1000
+#: Labelled documents that `labelled` picks at most, about.
+LABELLED_ROWS = 500_000
 
 
 def statistics(texts: pa.Array) -> np.ndarray:
@@ -198,6 +200,19 @@ def fit(described: DataFrame, labels: DataFrame, label: str = "quality", seed: i
     return model
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = LABELLED_ROWS, seed: int = 11) -> DataFrame:
+    """The rows of docs to fit on where it costs to describe them all: those whose id has a label.
+
+    Of more than `rows` labelled ids, about so many are drawn by a hash of the id, so the ids can be
+    broadcast and no text moves. Nulls are left out; repeated rows stay.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    found = known.count()
+    if found > rows:
+        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(rows / found * (1 << 30))))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id", "left_semi")
+
+
 def score_column(x: Column, model: Model) -> Column:
     shared = model
 

@@ -67,3 +67,18 @@ def test_repeat_follows_mix(docs, messy):
     assert repeated.columns == df.columns
     assert Counter(r["doc_id"] for r in repeated.collect()) == +want
     assert mixing.repeat(messy, mixing.marks(messy)).columns == messy.columns
+
+
+def test_repeat_keeps_any_column(docs, spark):
+    df = docs((1, "a b", None, "s"), (2, "c d e", None, "s")).selectExpr("*", "7 as __copy", "8 as whole", "9 as last", "'x' as `a.b`", "3 as row")
+    got = mixing.repeat(df, mixing.marks(df))
+    assert got.columns == df.columns and {r["__copy"] for r in got.collect()} == {7}
+
+
+def test_rows_without_an_id_are_spread(docs):
+    """Rows of no or one id have places of their own, so no range holds them all."""
+    rows = [(None if i % 2 else 5, prose(i, 12), None, "s") for i in range(400)]
+    places = mixing.sizes(docs(*rows), 17).selectExpr("substring(draw, 1, 1) as range").groupBy("range").count().collect()
+    assert len(places) == 16 and max(r["count"] for r in places) < 60
+    got = mixing.mix(docs(*rows), weights=(1.0,), share=0.5, max_epochs=2.0).collect()
+    assert abs(sum(r["taken"] for r in got) - 2400) <= 6

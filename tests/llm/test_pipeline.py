@@ -1,3 +1,4 @@
+import contextlib
 import os
 from collections import Counter
 
@@ -59,6 +60,44 @@ def test_join_stage_keeps_one_of_each(spark, docs, tmp_path):
     assert got == Counter({1: 1, 2: 1, None: 2, 5: 1, 6: 1, 7: 1})
 
 
+def test_join_stage_keeps_a_text_of_its_own_of_a_repeated_id(spark, docs, tmp_path):
+    t, u = "one two three four five six seven eight nine ten", "other words entirely here now and then again"
+    got = pipeline.join_stage(spark, docs((5, t), (8, t), (8, u)), str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(5, t), (8, u)]
+
+
+def test_bounded_labels_fit(spark, docs):
+    rows = [(i, "the " * (1 + i % 7), "en", "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(300)] + [(3, 1, 0), (None, 1, 0), (9, None, 1)], "doc_id long, quality int, toxic int")
+    learnt = {r["doc_id"] for r in quality.labelled(docs(*rows), labels).collect()}
+    assert learnt <= set(range(300)) and 200 < len(learnt) < 250
+    assert 60 < quality.labelled(docs(*rows), labels, rows=100).count() < 140
+
+
+def test_stages_leave_nothing_behind(spark, tmp_path, monkeypatch):
+    """What stages cut is gone once they are written; the last one's pieces remain."""
+    from lamella.llm import common
+
+    made = []
+    was = common.scratch
+
+    @contextlib.contextmanager
+    def spy():
+        with was():
+            yield
+            made.extend(common._made)
+
+    monkeypatch.setattr(pipeline, "scratch", spy)
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(60).write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = pipeline.run(spark, str(tmp_path))
+    assert made
+    for df in made:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+        assert not os.path.exists(file.removeprefix("file:"))
+    found.collect()
+
+
 def test_packing_stage_reads_the_tokenizer(docs, spark, tmp_path):
     assert tokenizer_file("word_bpe_49k.json") == FILE
     verify([(1, "a b"), (1, "a b")], pipeline.packing_stage(spark, docs((1, "a b"), (1, "a b")), str(tmp_path)).collect(), 4096)
