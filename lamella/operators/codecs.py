@@ -9,8 +9,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lamella.functions.bits import varint_length, zigzag_decode, zigzag_encode
+from lamella.functions.bits import from_bits, halves, joined, to_bits, varint_length, wrapped_int, zigzag_decode, zigzag_encode
+from lamella.functions.types import element_size
 from lamella.operators.zonemaps import CHUNK_ROWS, chunk_of
 
 
@@ -67,19 +69,37 @@ def rle_size(runs: DataFrame, element_size: int) -> DataFrame:
 
 
 def delta_encode(df: DataFrame, value: str, ordinal: str, rows: int = CHUNK_ROWS) -> DataFrame:
-    """(chunk, pos, zigzag): differences of successive values, the first from 0. value is an int or long, without nulls.
+    """(chunk, pos, zigzag, missing): differences of successive values, the first from 0.
 
-    Differences that leave a long's range are an error, as in any ANSI arithmetic.
+    value is of a type of 4 or 8 bytes; others are an error. Floats are taken by their bit patterns,
+    and differences wrap around in the type's width, so every value comes back. Nulls are kept apart
+    in missing, as repetitions of the value before.
     """
+    kind = df.schema[value].dataType
+    if isinstance(kind, T.StringType) or element_size(kind) not in (4, 8):
+        raise ValueError(f"no delta coding for {kind.simpleString()} column {value}")
     by = Window.partitionBy("chunk").orderBy("pos")
-    base = df.select(F.col(value).cast("long").alias("v"), F.col(ordinal).alias("pos"), chunk_of(F.col(ordinal), rows).alias("chunk"))
-    return base.select("chunk", "pos", zigzag_encode(F.col("v") - F.lag("v", 1, 0).over(by)).alias("zigzag"))
-
-
-def delta_decode(deltas: DataFrame) -> DataFrame:
-    """(chunk, pos, value): the values again by running sums."""
+    own = F.col(f"`{value}`")
+    base = df.select(to_bits(own, kind).alias("v"), own.isNull().alias("missing"), F.col(f"`{ordinal}`").alias("pos"), chunk_of(F.col(f"`{ordinal}`"), rows).alias("chunk"))
+    filled = base.withColumn("v", F.coalesce(F.last("v", ignorenulls=True).over(by), F.lit(0).cast("long")))
+    before = filled.withColumn("before", F.lag("v", 1, 0).over(by))
+    if element_size(kind) == 4:
+        delta = wrapped_int(F.col("v") - F.col("before"))
+    else:
+        (high, low), (high_before, low_before) = halves(F.col("v")), halves(F.col("before"))
+        delta = joined(high - high_before, low - low_before)
+    return before.select("chunk", "pos", zigzag_encode(delta).alias("zigzag"), "missing")
+
+
+def delta_decode(deltas: DataFrame, kind: T.DataType = T.LongType()) -> DataFrame:  # noqa: B008
+    """(chunk, pos, value): the values of type kind again by running sums."""
     by = Window.partitionBy("chunk").orderBy("pos")
-    return deltas.select("chunk", "pos", F.sum(zigzag_decode(F.col("zigzag"))).over(by).alias("value"))
+    each = deltas.select("chunk", "pos", "missing", zigzag_decode(F.col("zigzag")).alias("d"))
+    high, low = (F.sum(h).over(by) for h in halves(F.col("d")))
+    each = each.withColumns({"high": high, "low": low})
+    bits = joined(F.col("high"), F.col("low"))
+    bits = wrapped_int(bits) if element_size(kind) == 4 else bits
+    return each.select("chunk", "pos", from_bits(F.when(~F.col("missing"), bits), kind).alias("value"))
 
 
 def delta_size(deltas: DataFrame) -> DataFrame:

@@ -83,7 +83,22 @@ class Engine:
         return self.execute(plan)._jdf.queryExecution().explainString(self.catalog.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     def execute(self, plan: QueryPlan, as_double: bool = False, long: bool = False) -> DataFrame:
-        return compile_plan(self.catalog.stored(plan.table), plan, ORDINAL, as_double, long)
+        """The plan's rows. With a limit, files are tried in stored order until enough rows qualify, and no others are read."""
+        rows = self.catalog.stored(plan.table)
+        if plan.limit is not None and not plan.aggregates:
+            validate(T.StructType([f for f in rows.schema if f.name != ORDINAL]), plan)
+            rows = self._first_files(plan)
+        return compile_plan(rows, plan, ORDINAL, as_double, long)
+
+    def _first_files(self, plan: QueryPlan) -> DataFrame:
+        files, many = self.catalog.extents(plan.table), 1
+        while many < len(files):
+            rows = self.catalog.stored(plan.table, files[:many])
+            found = predicates.apply(rows, plan.where).limit(plan.limit).count() if plan.where else sum(e.rows for e in files[:many])
+            if found >= plan.limit:
+                return rows
+            many *= 4
+        return self.catalog.stored(plan.table)
 
     def run(self, plan: QueryPlan) -> QueryResult:
         """The plan's rows or aggregates as Python values, with figures.

@@ -53,12 +53,29 @@ def skippable(stats: DataFrame, df: DataFrame, predicates: Iterable[Predicate])
     return found
 
 
-def pruned_scan(df: DataFrame, ordinal: str, predicates: list[Predicate], rows: int = CHUNK_ROWS) -> DataFrame:
-    """The filtered rows of the chunks that can't be skipped: equal to a plain filter, for tests and inspection.
+#: Ranges of chunks that a scan takes as a filter; with more, chunks are joined.
+FILTER_RANGES = 500
 
-    Reading Parquet, Spark skips row groups and pages by the same bounds; this form shows it as a table.
+
+def pruned_scan(df: DataFrame, ordinal: str, predicates: list[Predicate], rows: int = CHUNK_ROWS, stats: DataFrame | None = None) -> DataFrame:
+    """The filtered rows of the chunks that can't be skipped: equal to a plain filter.
+
+    stats are the rows of chunk_stats, stored by whoever scans often, taken from df if not given.
+    Neighbouring chunks that stay are ranges of row numbers, a filter that reaches the scan and skips
+    row groups; only a table whose chunks stay in very many ranges is joined with them.
     """
-    stats = chunk_stats(df, ordinal, {p.column for p in predicates}, rows)
+    if not predicates:
+        return df
+    if stats is None:
+        stats = chunk_stats(df, ordinal, {p.column for p in predicates}, rows)
     kept = stats.where(~skippable(stats, df, predicates)).select("chunk")
-    found = df.withColumn("chunk", chunk_of(F.col(ordinal), rows)).join(kept, "chunk", "left_semi").drop("chunk")
-    return found.where(conjunction(df.schema, predicates)) if predicates else found
+    found = df.where(conjunction(df.schema, predicates))
+    edges = kept.select(F.explode(F.array(F.struct("chunk", F.lit(1).alias("n")), F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(-1).alias("n")))).alias("e"))
+    # a chunk's start and its neighbour's end cancel, so what remains are the ranges' ends
+    ends = edges.groupBy("e.chunk").agg(F.sum("e.n").alias("n")).where("n <> 0").orderBy("chunk").limit(2 * FILTER_RANGES + 1).collect()
+    if len(ends) > 2 * FILTER_RANGES:
+        return found.withColumn("chunk", chunk_of(F.col(ordinal), rows)).join(kept, "chunk", "left_semi").drop("chunk")
+    at, inside = F.col(ordinal), F.lit(False)
+    for low, high in zip(ends[::2], ends[1::2], strict=True):
+        inside = inside | ((at >= low["chunk"] * rows) & (at < high["chunk"] * rows))
+    return found.where(inside)

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamella.functions.bits import compression_ratio
+from lamella.functions.types import column_type, element_size, type_name
 from lamella.operators import aggregates, codecs, predicates, zonemaps
-from lamella.operators.executor import compile_plan
+from lamella.operators.executor import Engine, compile_plan, consume, run_benchmark
 from lamella.plans.query import AggFunc, Aggregate, CompareOp, Predicate, QueryPlan
 from lamella.sources.catalog import Catalog
 from lamella.sources.csv import ingest_csv
+from lamella.sources.sample import sample_orders
+from lamella.streaming.reader import ColumnReader
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -269,7 +272,7 @@ def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DELTAS = """
 WITH d AS (SELECT o_orderkey // 4096 AS chunk, o_orderkey AS pos, o_custkey - lag(o_custkey, 1, 0) OVER (PARTITION BY o_orderkey // 4096 ORDER BY o_orderkey) AS d FROM orders),
-z AS (SELECT chunk, pos, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS zigzag FROM d)
+z AS (SELECT chunk, pos, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS zigzag, false AS missing FROM d)
 """
 
 
@@ -293,6 +296,45 @@ def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.delta_decode(_deltas(spark, sf_dir))
 
 
+def _delta_kinds(df: DataFrame, ordinal: str) -> DataFrame:
+    """Each column of df but the ordinal coded and decoded, side by side."""
+    found = None
+    for f in df.schema:
+        if f.name != ordinal:
+            own = codecs.delta_decode(codecs.delta_encode(df, f.name, ordinal, 512), f.dataType).select("chunk", "pos", F.col("value").alias(f.name))
+            found = own if found is None else found.join(own, ["chunk", "pos"])
+    return found
+
+
+@register(
+    "delta_types",
+    """
+    SELECT p_partkey // 512 AS chunk, p_partkey AS pos, p_size AS i32, p_retailprice::FLOAT AS f32, p_retailprice * -1e300 AS f64, nullif(p_size, 7) AS with_nulls,
+           CASE WHEN p_partkey % 2 = 0 THEN 9223372036854775807 - p_partkey ELSE p_partkey - 9223372036854775807 END AS far_apart, nullif(p_retailprice, p_retailprice) AS no_values
+    FROM part
+    """,
+)
+def delta_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    far = F.lit(2**63 - 1)
+    df = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.col("p_size").alias("i32"),
+        F.col("p_retailprice").cast("float").alias("f32"),
+        (F.col("p_retailprice") * F.lit(-1e300)).alias("f64"),
+        F.nullif("p_size", F.lit(7)).alias("with_nulls"),
+        F.when(F.col("p_partkey") % 2 == 0, far - F.col("p_partkey")).otherwise(F.col("p_partkey") - far).alias("far_apart"),
+        F.nullif("p_retailprice", "p_retailprice").alias("no_values"),
+    )
+    return _delta_kinds(df, "p_partkey")
+
+
+@register("delta_wraps", "SELECT v.* FROM (VALUES (0::BIGINT, 0::BIGINT, 4294967294::BIGINT, false), (0, 1, 1, false), (0, 2, 2, false), (0, 3, 0, true)) v(chunk, pos, zigzag, missing)")
+def delta_wraps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the largest int to the smallest is one step."""
+    df = spark.createDataFrame([(0, 2**31 - 1), (1, 2**31 - 2), (2, 2**31 - 1), (3, None)], "pos long, value int")
+    return codecs.delta_encode(df, "value", "pos")
+
+
 # storage
 
 
@@ -342,6 +384,144 @@ def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.read("part")
 
 
+# storage of every type, and the engine's other parts
+
+_ALL = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
+
+
+def _parts(spark: SparkSession, sf_dir: str, codec: str = "snappy", sort_by: list[str] | None = None, parts: int = 4) -> Catalog:
+    """A catalog with `part` in several files, in order of its key or of sort_by."""
+    df = table(spark, sf_dir, "part")
+    catalog = Catalog(spark, shared_folder(spark))
+    catalog.create_table("part", df.schema)
+    catalog.write("part", df.repartitionByRange(parts, "p_partkey").sortWithinPartitions("p_partkey") if sort_by is None else df, codec, sort_by=sort_by)
+    return catalog
+
+
+for _codec in ("none", "snappy", "zstd", "lz4", "rle"):
+    register(f"stored_types_{_codec}", f"SELECT {_ALL}, nullif(p_size, 7) AS with_nulls, p_retailprice::FLOAT AS f32, p_size % 3 = 0 AS flag FROM part")(
+        lambda spark, sf_dir, codec=_codec: _typed(spark, sf_dir, codec)
+    )
+
+
+def _typed(spark: SparkSession, sf_dir: str, codec: str) -> DataFrame:
+    df = table(spark, sf_dir, "part").select("*", F.nullif("p_size", F.lit(7)).alias("with_nulls"), F.col("p_retailprice").cast("float").alias("f32"), (F.col("p_size") % 3 == 0).alias("flag"))
+    catalog = Catalog(spark, shared_folder(spark))
+    catalog.create_table("part", df.schema)
+    catalog.write("part", df, codec)
+    return catalog.read("part")
+
+
+# the engine on a catalog's tables
+
+
+@register("engine_scan", "SELECT p_name, p_size FROM part WHERE p_size >= 40 AND p_retailprice < 1500")
+def engine_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = Engine(_parts(spark, sf_dir, "zstd"))
+    return engine.scan("part", ["p_name", "p_size"], [Predicate("p_size", CompareOp.GTE, 40), Predicate("p_retailprice", CompareOp.LT, 1500.0)])
+
+
+@register("engine_aggregate", "SELECT count(*)::DOUBLE AS n, sum(p_size)::DOUBLE AS total, min(p_partkey)::DOUBLE AS low, max(p_retailprice) AS high, round(avg(p_size), 6) AS mean FROM part WHERE p_size < 20")
+def engine_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = [Aggregate(AggFunc.COUNT, alias="n"), Aggregate(AggFunc.SUM, "p_size", "total"), Aggregate(AggFunc.MIN, "p_partkey", "low"), Aggregate(AggFunc.MAX, "p_retailprice", "high"), Aggregate(AggFunc.AVG, "p_size", "mean")]
+    return Engine(_parts(spark, sf_dir)).execute(QueryPlan("part", where=[Predicate("p_size", CompareOp.LT, 20)], aggregates=wanted)).withColumn("mean", F.round("mean", 6))
+
+
+@register("engine_limit", "SELECT p_partkey, p_size FROM part WHERE p_size > 25 ORDER BY p_partkey LIMIT 30")
+def engine_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows in stored order; files beyond those that hold them aren't read."""
+    return Engine(_parts(spark, sf_dir, parts=8)).execute(QueryPlan("part", ["p_partkey", "p_size"], [Predicate("p_size", CompareOp.GT, 25)], limit=30))
+
+
+@register("engine_limit_beyond", "SELECT p_partkey FROM part WHERE p_size = 1 ORDER BY p_partkey LIMIT 100000")
+def engine_limit_beyond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(_parts(spark, sf_dir, parts=8)).execute(QueryPlan("part", ["p_partkey"], [Predicate("p_size", CompareOp.EQ, 1)], limit=100_000))
+
+
+@register("engine_figures", "SELECT (SELECT count(*) FROM part) AS rows_scanned, count(*) AS found, sum(p_partkey)::BIGINT AS keys, true AS read_some, true AS timed FROM part WHERE p_partkey < 100")
+def engine_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = Engine(_parts(spark, sf_dir)).run(QueryPlan("part", ["p_partkey"], [Predicate("p_partkey", CompareOp.LT, 100)]))
+    row = (got.rows_scanned, len(got.rows), sum(r[0] for r in got.rows), 0 < len(got.rows) <= got.rows_read <= got.rows_scanned, got.elapsed_ms > 0)
+    return spark.createDataFrame([row], "rows_scanned long, found long, keys long, read_some boolean, timed boolean")
+
+
+@register("plan_nodes", "SELECT v.* FROM (VALUES ('Scan', true), ('PushedFilters', true), ('Filter', true), ('HashAggregate', true), ('Exchange', true), ('Join', false)) v(node, present)")
+def plan_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pipeline of a filtered sum is made of."""
+    said = Engine(_parts(spark, sf_dir)).explain(QueryPlan("part", where=[Predicate("p_size", CompareOp.EQ, 3)], aggregates=[Aggregate(AggFunc.SUM, "p_size")]))
+    return spark.createDataFrame([(n, n in said) for n in ("Scan", "PushedFilters", "Filter", "HashAggregate", "Exchange", "Join")], "node string, present boolean")
+
+
+@register("required_columns", "SELECT v.* FROM (VALUES ('project', 'p_name p_size p_brand'), ('aggregate', 'p_size p_brand'), ('star', '')) v(plan, required)")
+def required_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = [Predicate("p_brand", CompareOp.EQ, "x"), Predicate("p_size", CompareOp.GT, 3)]
+    plans = {"project": QueryPlan("part", ["p_name", "p_size"], where), "aggregate": QueryPlan("part", ["p_name"], [*where[:1]], [Aggregate(AggFunc.SUM, "p_size"), Aggregate(AggFunc.COUNT)]), "star": QueryPlan("part", where=where)}
+    return spark.createDataFrame([(name, " ".join(plan.required)) for name, plan in plans.items()], "plan string, required string")
+
+
+@register(
+    "read_chunks",
+    "SELECT chunk, count(*) AS n, min(p_partkey) AS first_key, max(p_partkey) AS last_key FROM (SELECT p_partkey, (row_number() OVER (ORDER BY p_partkey) - 1) // 700 AS chunk FROM part) GROUP BY chunk",
+)
+def read_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks pulled until the reader is exhausted, one row for each."""
+    reader = ColumnReader(_parts(spark, sf_dir, parts=3), "part", "p_partkey", 700)
+    rows = [(i, len(c), c[0], c[-1]) for i, c in enumerate(reader)]
+    if not reader.exhausted or reader.next_chunk() is not None:
+        raise RuntimeError("the reader isn't at its end")
+    return spark.createDataFrame(rows, "chunk long, n long, first_key long, last_key long")
+
+
+@register(
+    "schema_lookups",
+    "SELECT v.* FROM (VALUES ('p_partkey', 0, 'INT64', 8), ('p_name', 1, 'STRING', 4), ('p_size', 4, 'INT32', 4), ('p_retailprice', 5, 'FLOAT64', 8), ('missing', -1, NULL, NULL)) v(name, place, type, bytes)",
+)
+def schema_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = _parts(spark, sf_dir)
+    schema = catalog.load_schema("part")
+    rows = []
+    for name in ("p_partkey", "p_name", "p_size", "p_retailprice", "missing"):
+        at = catalog.column_index("part", name)
+        kind = type_name(column_type(schema, name)) if at >= 0 else None
+        rows.append((name, at, kind, element_size(kind) if kind else None))
+    return spark.createDataFrame(rows, "name string, place int, type string, bytes int")
+
+
+@register(
+    "sample_rows",
+    "SELECT 5000 AS n, 5000 AS ids, true AS customers, true AS amounts, 4 AS statuses, 1700000000 AS first_ts, 1700000000 + 60 * 4999 AS last_ts, true AS repeatable",
+)
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = sample_orders(spark, 5000)
+    found = df.agg(
+        F.count("*").cast("int").alias("n"),
+        F.count_distinct("order_id").cast("int").alias("ids"),
+        ((F.min("customer_id") >= 1) & (F.max("customer_id") <= 10_000)).alias("customers"),
+        ((F.min("amount") >= 1) & (F.max("amount") <= 5000) & (F.max(F.abs(F.col("amount") - F.round("amount", 2))) == 0)).alias("amounts"),
+        F.count_distinct("status").cast("int").alias("statuses"),
+        F.min("ts").cast("int").alias("first_ts"),
+        F.max("ts").cast("int").alias("last_ts"),
+    )
+    return found.withColumn("repeatable", F.lit(df.exceptAll(sample_orders(spark, 5000)).count() == 0))
+
+
+@register("harness", "SELECT 'sum' AS name, (SELECT count(*) FROM part) AS rows, true AS timed, true AS rated, true AS printed")
+def harness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "part")
+    got = run_benchmark("sum", lambda: consume(df.agg(F.sum("p_size"))), df.count())
+    return spark.createDataFrame([(got.name, got.rows, got.elapsed_ms > 0, got.rows_per_second > 0, str(got).startswith("sum: "))], "name string, rows long, timed boolean, rated boolean, printed boolean")
+
+
+@register("built_columns", "SELECT v.* FROM (VALUES (0::BIGINT, 0, NULL, 'a'), (1, NULL, 1.5::FLOAT, NULL), (2, 20, NULL, ''), (3, NULL, -2.0, 'd')) v(pos, i, f, s)")
+def built_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns built row by row with nulls, stored and read again."""
+    rows = spark.createDataFrame([(0, 0, None, "a"), (1, None, 1.5, None), (2, 20, None, ""), (3, None, -2.0, "d")], "pos long, i int, f float, s string")
+    catalog = Catalog(spark, shared_folder(spark))
+    catalog.create_table("built", rows.schema)
+    catalog.write("built", rows)
+    return catalog.read("built")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

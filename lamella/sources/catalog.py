@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,16 @@ from lamella.operators.zonemaps import CHUNK_ROWS
 ORDINAL = "__ordinal"
 
 
+@dataclass(frozen=True)
+class Extent:
+    """A data file and what it holds of the stored order."""
+
+    name: str
+    first: int
+    last: int
+    rows: int
+
+
 class Catalog:
     """Creates, writes and reads tables below base; works with any file system that Spark reads."""
 
@@ -41,18 +52,39 @@ class Catalog:
         """Store the schema and make the table empty; a table of that name is replaced."""
         if ORDINAL in schema.fieldNames():
             raise ValueError(f"{ORDINAL} is reserved")
-        path = self._path(self._schema_file(table))
+        self._put(self._schema_file(table), {"table_name": table, "schema": schema.jsonValue()})
+        self.write(table, self.spark.createDataFrame([], schema))
+
+    def _put(self, file: str, value: object) -> None:
+        path = self._path(file)
         out = path.getFileSystem(self._conf()).create(path, True)
-        out.write(bytearray(json.dumps({"table_name": table, "schema": schema.jsonValue()}, indent=2).encode()))
+        out.write(bytearray(json.dumps(value, indent=2).encode()))
         out.close()
-        self.write(table, self.spark.createDataFrame([], schema))
 
-    def load_schema(self, table: str) -> T.StructType:
-        path = self._path(self._schema_file(table))
+    def _get(self, file: str) -> dict | None:
+        path = self._path(file)
         if not path.getFileSystem(self._conf()).exists(path):
+            return None
+        return json.loads("\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(file).collect()))
+
+    def load_schema(self, table: str) -> T.StructType:
+        found = self._get(self._schema_file(table))
+        if found is None:
             raise ValueError(f"unknown table: {table}")
-        text = "\n".join(r[0] for r in self.spark.read.option("wholetext", True).text(self._schema_file(table)).collect())
-        return T.StructType.fromJson(json.loads(text)["schema"])
+        return T.StructType.fromJson(found["schema"])
+
+    def extents(self, table: str) -> list[Extent]:
+        """The table's data files in stored order, as noted when it was last written."""
+        self.load_schema(table)
+        found = self._get(posixpath.join(self.base, table, "extents.json"))
+        return [Extent(**e) for e in found["files"]] if found else []
+
+    def _note_extents(self, table: str, schema: T.StructType, before: list[Extent], start: int) -> None:
+        """Take the bounds of new files, those from row number start on, from a read of that column alone."""
+        name = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name")
+        new = self._stored(table, schema).select(name, ORDINAL).where(F.col(ORDINAL) >= start).groupBy("name").agg(F.min(ORDINAL), F.max(ORDINAL), F.count(F.lit(1))).collect()
+        files = sorted([*before, *(Extent(*r) for r in new)], key=lambda e: e.first)
+        self._put(posixpath.join(self.base, table, "extents.json"), {"files": [asdict(e) for e in files]})
 
     def write(self, table: str, df: DataFrame, codec: str = "snappy", delta_columns: list[str] | None = None, sort_by: list[str] | None = None, mode: str = "overwrite") -> None:
         """Write df's rows, which must have the table's columns and types, in row groups of 65,536.
@@ -68,23 +100,23 @@ class Catalog:
             for c in sort_by:
                 column_type(schema, c)
             df = df.repartitionByRange(*sort_by).sortWithinPartitions(*sort_by)
-        start = F.lit(0).cast("long")
-        if mode == "append":
-            last = self._stored(table, schema).agg(F.max(ORDINAL)).first()[0]
-            start = F.lit(0 if last is None else ((last >> 33) + 1) << 33).cast("long")
-        stored = df.withColumn(ORDINAL, start + F.monotonically_increasing_id())
+        before = self.extents(table) if mode == "append" else []
+        start = ((before[-1].last >> 33) + 1) << 33 if before else 0
+        stored = df.withColumn(ORDINAL, F.lit(start).cast("long") + F.monotonically_increasing_id())
         options = make_codec(codec).writer_options(delta_columns or [])
         stored.write.mode(mode).options(**options).option("parquet.block.row.count.limit", str(CHUNK_ROWS)).parquet(self._data(table))
+        self._note_extents(table, schema, before, start)
 
     def append(self, table: str, df: DataFrame, codec: str = "snappy") -> None:
         self.write(table, df, codec, mode="append")
 
-    def _stored(self, table: str, schema: T.StructType) -> DataFrame:
-        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField(ORDINAL, T.LongType())])).parquet(self._data(table))
+    def _stored(self, table: str, schema: T.StructType, files: list[Extent] | None = None) -> DataFrame:
+        paths = [self._data(table)] if files is None else [posixpath.join(self._data(table), e.name) for e in files]
+        return self.spark.read.schema(T.StructType([*schema.fields, T.StructField(ORDINAL, T.LongType())])).parquet(*paths)
 
-    def stored(self, table: str) -> DataFrame:
-        """The table with its ORDINAL column."""
-        return self._stored(table, self.load_schema(table))
+    def stored(self, table: str, files: list[Extent] | None = None) -> DataFrame:
+        """The table, or some of its files, with its ORDINAL column."""
+        return self._stored(table, self.load_schema(table), files)
 
     def read(self, table: str, columns: list[str] | None = None) -> DataFrame:
         """The named columns (all if none are named), in the order named."""
@@ -100,4 +132,4 @@ class Catalog:
         return column_index(self.load_schema(table), column)
 
     def total_rows(self, table: str) -> int:
-        return self.read(table).count()
+        return sum(e.rows for e in self.extents(table))

@@ -405,3 +405,81 @@ def test_mod_thousand_scans(spark):
     assert one(df, AggFunc.SUM) == 49_950_000 and df.count() == 100_000
     plan = QueryPlan("t", where=[Predicate("v", CompareOp.LT, 500)], aggregates=[Aggregate(AggFunc.COUNT)])
     assert compile_plan(df.limit(50_000), plan).first()[0] == 25_000
+
+
+@pytest.mark.parametrize(
+    ("kind", "values"),
+    [
+        ("int", [100, 105, None, 103, -(2**31), 2**31 - 1, 0]),
+        ("bigint", [2**63 - 1, -(2**63), None, 0, -1, 1 << 53, None]),
+        ("float", [1.5, 2.75, -3.25, None, float("inf"), -0.0, 3.4028234663852886e38]),
+        ("double", [1.5, 2.7, -3.2, None, 5e-324, -0.0, float("-inf"), 1.7976931348623157e308]),
+        ("double", [None, None]),
+    ],
+)
+def test_delta_of_any_number_comes_back(rows, kind, values):
+    df = rows(f"pos long, v {kind}", *enumerate(values))
+    coded = codecs.delta_encode(df, "v", "pos", 4)
+    got = codecs.delta_decode(coded, df.schema["v"].dataType).orderBy("pos")
+    assert [repr(r["value"]) for r in got.collect()] == [repr(v) for v in values]
+    assert got.schema["value"].dataType == df.schema["v"].dataType
+    assert codecs.delta_size(coded).agg({"size": "sum"}).first()[0] >= len(values)
+
+
+def test_delta_keeps_nan(rows):
+    df = rows("pos long, v double", (0, float("nan")), (1, 2.0), (2, float("nan")))
+    got = [r["value"] for r in codecs.delta_decode(codecs.delta_encode(df, "v", "pos"), df.schema["v"].dataType).orderBy("pos").collect()]
+    assert got[0] != got[0] and got[1] == 2.0 and got[2] != got[2]
+
+
+def test_delta_refuses_other_types(rows):
+    for schema, value in (("pos long, v string", "a"), ("pos long, v boolean", True), ("pos long, v decimal(5,2)", None)):
+        with pytest.raises(ValueError, match="no "):
+            codecs.delta_encode(rows(schema, (0, value)), "v", "pos")
+
+
+def test_limit_reads_no_more_files_than_it_needs(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    df = spark.range(0, 4000, 1, 8).selectExpr("id", "id % 10 as v")
+    catalog.create_table("t", df.schema)
+    catalog.write("t", df)
+    assert [e.rows for e in catalog.extents("t")] == [500] * 8 and catalog.total_rows("t") == 4000
+    engine = Engine(catalog)
+    found = engine.execute(QueryPlan("t", ["id"], [Predicate("v", CompareOp.EQ, 3)], limit=20))
+    assert [r["id"] for r in found.collect()] == list(range(3, 203, 10))
+    assert len(found.inputFiles()) == 1
+    assert len(engine.execute(QueryPlan("t", limit=501)).inputFiles()) == 4
+    assert [r["id"] for r in engine.execute(QueryPlan("t", ["id"], [Predicate("v", CompareOp.EQ, 3)], limit=400)).collect()] == list(range(3, 4000, 10))
+    assert engine.execute(QueryPlan("t", [], [Predicate("v", CompareOp.GT, 50)], limit=3)).collect() == []
+    with pytest.raises(ValueError, match="unknown column"):
+        engine.execute(QueryPlan("t", ["nothing"], limit=3))
+
+
+def test_reader_goes_file_by_file(spark, tmp_path, monkeypatch):
+    from lamella.streaming import reader
+
+    monkeypatch.setattr(reader, "FETCH_ROWS", 64)
+    catalog = Catalog(spark, str(tmp_path))
+    df = spark.range(0, 1000, 1, 3).selectExpr("id", "nullif(id, 7) as v")
+    catalog.create_table("t", df.schema)
+    catalog.write("t", df)
+    catalog.append("t", df)
+    chunks = list(reader.ColumnReader(catalog, "t", "v", 150))
+    assert [len(c) for c in chunks] == [150] * 13 + [50]
+    assert [v for c in chunks for v in c] == [None if i == 7 else i for i in range(1000)] * 2
+    empty = Catalog(spark, str(tmp_path / "other"))
+    empty.create_table("e", df.schema)
+    assert reader.ColumnReader(empty, "e", "v").next_chunk() is None
+
+
+def test_pruned_scan_filters_ranges_of_chunks(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id", "id div 100 as v")
+    wanted = [Predicate("v", CompareOp.EQ, 4)]
+    stats = zonemaps.chunk_stats(df, "id", ["v"], 50)
+    for ranges in (500, 0):
+        monkeypatch.setattr(zonemaps, "FILTER_RANGES", ranges)
+        found = zonemaps.pruned_scan(df, "id", wanted, 50, stats)
+        assert sorted(r["id"] for r in found.collect()) == list(range(400, 500))
+        assert ("Join" in found._jdf.queryExecution().toString()) == (ranges == 0)
+    none = zonemaps.pruned_scan(df, "id", [Predicate("v", CompareOp.GT, 99)], 50)
+    assert none.collect() == []
