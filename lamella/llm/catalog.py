@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licenses": licenses.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op8_search": search.ORACLE_SQL, "op10_urls": urls.ORACLE_SQL}
+    return {"op2_fingerprints": fingerprints.ORACLE_SQL, "op3_ngram_join": jaccard.ORACLE_SQL, "op4_token_counts": tokencount.oracle_sql(tokenizer_file("piece_bpe_32k.model")), "op5_licenses": licenses.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op8_search": search.ORACLE_SQL, "op10_urls": urls.ORACLE_SQL}

@@ -22,7 +22,7 @@ SPARE_SEGMENTS = 4
 #: SPREAD blocks of PART_SETS sets as well, so that more than one task works on them.
 BLOCK_SHINGLES = 6_000_000
 BLOCK_SETS = 8_192
-PART_SETS, SPREAD = 256, 8
+PART_SETS, SPREAD = 128, 16
 #: Postings of a bucket, about (20 MB); there are as many buckets as all postings need.
 BUCKET_POSTINGS = 1_000_000
 #: Keys with this many postings, or 1/MOST_HOT of all, are hot: they are dealt by set instead of by key.
@@ -502,3 +502,21 @@ def verify(docs: DataFrame, members: DataFrame, sets: Sets) -> DataFrame:
 
 
 own_type = "array<struct<b1:int,s1:int,b2:int,s2:int,side:int>>"
+
+
+#: Every pair of documents that share a shingle is counted, and every document reaches all others of its component, so this is for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))
+                         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM d),
+e AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n + b.n),
+linked AS (SELECT a, b FROM pairs WHERE 100 * c >= 85 * (total - c) AND a IS NOT NULL AND b IS NOT NULL),
+edges AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+reach(a, m) AS (SELECT doc_id, doc_id FROM d WHERE doc_id IS NOT NULL UNION SELECT edges.b, reach.m FROM reach JOIN edges ON edges.a = reach.a)
+SELECT s.doc_id, len(s.s) AS n_shingles, m.component_id
+FROM s LEFT JOIN (SELECT a, min(m) AS component_id FROM reach GROUP BY a) m ON m.a = s.doc_id
+"""

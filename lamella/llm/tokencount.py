@@ -113,3 +113,27 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
             )
 
     return text_rows(docs).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+
+
+def oracle_sql(model: str) -> str:
+    """SQL for token_counts: greedy longest matches by recursion over distinct words, with the model's pieces as literals."""
+    pieces = piece_vocabulary(model)
+    longest = max(map(len, pieces))
+    values = ", ".join("('" + p.replace("'", "''") + "')" for p in pieces)
+    return f"""
+    WITH RECURSIVE v(piece) AS (VALUES {values}),
+    d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    words AS (SELECT DISTINCT unnest(w) AS word FROM d),
+    step(word, tail, n) AS (
+      SELECT word, '{WORD_START}' || word, 0 FROM words
+      UNION ALL
+      SELECT s.word, substr(s.tail, p.size + 1), s.n + 1
+      FROM (SELECT t.word, t.tail, t.n, max(t.size) AS size
+            FROM (SELECT word, tail, n, unnest(range(1, least(length(tail), {longest}) + 1)) AS size FROM step WHERE tail <> '') t
+            JOIN v ON v.piece = substr(t.tail, 1, t.size) GROUP BY t.word, t.tail, t.n) p
+      JOIN step s ON s.word = p.word AND s.tail = p.tail),
+    lengths AS (SELECT words.word, coalesce(s.n, 1) AS n FROM words LEFT JOIN step s ON s.word = words.word AND s.tail = ''),
+    each AS (SELECT r, unnest(w) AS word FROM d),
+    sums AS (SELECT r, sum(n)::BIGINT AS n FROM each JOIN lengths USING (word) GROUP BY r)
+    SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(sums.n, 0) AS n_tokens FROM d LEFT JOIN sums USING (r)
+    """
