@@ -16,10 +16,13 @@ from lamella.llm.common import cut, fold, held_out, split_words, text_blocks, te
 
 #: Random features of the Gaussian kernel.
 FOURIER = 256
-#: Partial sums that reach the driver at most.
+#: Partial sums that reach the driver at most, and that one task adds up.
 PARTIAL_SUMS = 8
+FAN_IN = 32
 #: Score bins of the calibration.
 BINS = 1000
+#: Share of the score that follows the regression itself, so that texts on one step of the calibration keep their order.
+ORDERED = 0.02
 #: Labelled documents that `labelled` picks at most, about.
 LABELLED_ROWS = 500_000
 
@@ -98,7 +101,9 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.steps):
             return np.full(len(x), self.prior)
-        return np.clip(np.interp(self.raw(x), self.steps_at, self.steps), 0, 1)
+        raw = self.raw(x)
+        within = 1 / (1 + np.exp(-np.clip(4 * raw - 2, -30, 30)))
+        return np.clip((1 - ORDERED) * np.interp(raw, self.steps_at, self.steps) + ORDERED * within, 0, 1)
 
 
 def fourier(x: np.ndarray, seed: int) -> np.ndarray:
@@ -135,7 +140,7 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def summed(rows: DataFrame, part: object) -> np.ndarray | None:
-    """The sum over all rows of part(x, y), an array: by partition, then PARTIAL_SUMS of those, then here."""
+    """The sum over all rows of part(x, y), an array: by partition, then in a tree of FAN_IN, at last PARTIAL_SUMS here."""
 
     def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = None
@@ -154,7 +159,11 @@ def summed(rows: DataFrame, part: object) -> np.ndarray | None:
         if got is not None:
             yield pd.DataFrame({"sum": [got.tobytes()]})
 
-    found = [np.frombuffer(r[0]) for r in rows.mapInPandas(one, "sum binary").repartition(PARTIAL_SUMS).mapInPandas(more, "sum binary").collect()]
+    sums, parts = rows.mapInPandas(one, "sum binary"), rows.rdd.getNumPartitions()
+    while parts > PARTIAL_SUMS:
+        parts = max(PARTIAL_SUMS, -(-parts // FAN_IN))
+        sums = sums.repartition(parts).mapInPandas(more, "sum binary")
+    found = [np.frombuffer(r[0]) for r in sums.collect()]
     return np.sum(found, axis=0) if found else None
 
 

@@ -33,6 +33,7 @@ def test_quality_held_out(tables):
         if g["held_out"]:
             right.append(g["predicted"] == r["quality"])
     assert np.mean(right) > 0.95
+    assert len({r["score"] for r in got.values()}) > 0.5 * len(got)  # texts on one step keep their order
 
 
 @needs_data
@@ -81,6 +82,8 @@ def test_partition_sums_equal_one_fit(spark):
     got = quality.summed(df, lambda a, b: np.concatenate(((a.T @ a).ravel(), a.T @ b)))
     assert np.allclose(got, np.concatenate(((x.T @ x).ravel(), x.T @ np.arange(50.0))))
     assert quality.summed(df.where("false"), lambda a, b: a.sum(axis=0)) is None
+    many = df.repartition(70)
+    assert np.allclose(quality.summed(many, lambda a, b: a.sum(axis=0)), x.sum(axis=0))
 
 
 def test_statistics_of_odd_texts():
