@@ -187,9 +187,10 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hot_keys(postings: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts), ascending: keys with very many postings, MOST_HOT at most, counted where they are more than a thousandth of a batch.
+    """(keys, counts), ascending: keys with very many postings, MOST_HOT at most, counted where a batch has them more than once.
 
-    A key that is nowhere dense enough to be counted may be missed; it has a thousandth of all postings at most.
+    What isn't counted is a single posting of a batch, which holds some 200,000, so a key that is missed
+    has no more postings than there are batches and bounds.
     """
     least = max(HOT_POSTINGS, -(-total // MOST_HOT))
     if total < least:
@@ -200,7 +201,7 @@ def hot_keys(postings: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
             for blob in batch.column("keys"):
                 keys = np.sort(np.frombuffer(blob.as_buffer(), np.uint64))
                 start, length = runs(keys)
-                dense = length > max(1, len(keys) // 1000)
+                dense = length > 1
                 yield pa.record_batch([pa.array(keys[start[dense]].view(np.int64)), pa.array(length[dense].astype(np.int64))], names=["key", "n"])
 
     counted = postings.select("keys").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).collect()
