@@ -161,7 +161,10 @@ def fit(docs: DataFrame, seed: int = 5, reject_ratio: float = 0.25) -> Model:
                 yield pa.record_batch([block.column("lang").slice(start, 128), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
 
     def centred(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = model.vectors(np.frombuffer(b"".join(sorted(pdf["counts"])), np.float32).reshape(-1, FEATURES)).astype(np.float32)
+        counts = np.frombuffer(b"".join(sorted(pdf["counts"])), np.float32).reshape(-1, FEATURES)
+        if counts.any():  # rows without a letter say nothing about where a language lies
+            counts = counts[counts.any(axis=1)]
+        x = model.vectors(counts).astype(np.float32)
         found = spherical_means(x, CENTROIDS, seed)
         cosine = x @ found.T
         best = cosine.argmax(axis=1)
