@@ -39,6 +39,16 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).where(~bad).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
 
 
+def at_most(data: DataFrame, k: int) -> DataFrame:
+    """data (vec_id, v) with equal rows k times at most: more can't be among k answers. Only ids that come more than k times are looked at."""
+    often = cut(data.groupBy("vec_id").count().where(F.col("count") > k).select("vec_id"))
+    if not often.limit(1).count():
+        return data
+    equal = data.join(often, "vec_id", "left_semi").groupBy("vec_id", "v").agg(F.count("*").alias("n"))
+    kept = equal.select("vec_id", "v", F.explode(F.array_repeat(F.lit(0), F.least("n", F.lit(k)).cast("int")))).select("vec_id", "v")
+    return cut(data.join(often, "vec_id", "left_anti").unionByName(kept))
+
+
 def matrix(lists: pa.Array, width: int) -> np.ndarray:
     """The vectors as rows, shorter ones padded with zeros."""
     ends = lists.offsets.to_numpy().astype(np.int64)
@@ -248,7 +258,7 @@ class Sent:
 def send(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str) -> Sent | None:
     """Deal queries by their pivots to blocks, and to each block the rows that its bounds leave; None without rows or queries."""
     spark = vectors.sparkSession
-    data = cut(integers(vectors, id_col, vector_col))
+    data = at_most(cut(integers(vectors, id_col, vector_col)), k)
     asked = cut(integers(queries, id_col, vector_col).distinct()).withColumn("query", F.monotonically_increasing_id())
     n, width = data.agg(F.count("*"), F.max(F.size("v"))).first()
     width = width or 1
@@ -277,7 +287,7 @@ def send(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col
     if needed.count() + int(parts.sum()) * blocks <= BROADCAST_NEEDS:
         wide = F.broadcast(wide)
     # a large group has a chunk for each part of it, so no key of this join has more than a block's rows
-    held = grouped.join(groups, "cell").withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("vec_id"), "parts")).select("vec_id", "cell", "far", "norm", "v", "chunk")
+    held = grouped.join(groups, "cell").withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("vec_id", "v"), "parts")).select("vec_id", "cell", "far", "norm", "v", "chunk")
     rows = held.join(wide, ["cell", "chunk"]).where("far >= low and far <= high and norm >= length").select("block", "chunk", "vec_id", "v")
     where = wide.select("block", "chunk").distinct()
     return Sent(asked.select("query_id", "query", "block", "v").join(where, "block"), rows, width, n, blocks, chunks)

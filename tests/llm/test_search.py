@@ -148,3 +148,16 @@ def test_answers_of_many_chunks_come_together(vectors, monkeypatch):
     assert search.send(df, df.where("vec_id < 9"), 5, "vec_id", "embedding").chunks > 64
     got = sorted(tuple(r) for r in search.top_k(df, df.where("vec_id < 9")).collect())
     assert got == brute(exact(rows), [r for r in exact(rows) if r[0] < 9], 5)
+
+
+def test_very_many_equal_rows(vectors, monkeypatch):
+    """A third of all rows are one row, a third have one id: neither is one task's work, and no answer changes."""
+    monkeypatch.setattr(search, "DATA_BLOCK", 20)
+    rng = random.Random(14)
+    rows = [(7, [0.5, 0.25, 1.0])] * 120 + [(8, [rng.gauss(0, 1) for _ in range(3)]) for _ in range(120)] + [(100 + i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(120)]
+    df = vectors(rows)
+    asked = df.where("vec_id in (7, 101, 150)")
+    sent = search.send(df, asked, 5, "vec_id", "embedding")
+    assert sent.rows.groupBy("block", "chunk").count().agg({"count": "max"}).first()[0] <= 40
+    got = sorted(tuple(r) for r in search.top_k(df, asked).collect())
+    assert got == brute(exact(rows), [r for r in exact(rows) if r[0] in (7, 101, 150)], 5)
