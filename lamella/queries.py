@@ -48,8 +48,12 @@ def planned(name: str, plan: QueryPlan, sql: str, ordinal: str | None = None, as
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the session's checkpoint folder or, without one, its warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder below the session's checkpoint folder or, without one, its warehouse, if executors share that."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base, master = spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master
+        if base.startswith("file:") and not master.startswith("local[") and master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/lamella-{uuid.uuid4().hex}"
 
 
