@@ -180,39 +180,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    def rows(ids: list, texts: list[str], found: list[np.ndarray], nexts: list[str], next_found: list[np.ndarray]) -> pd.DataFrame:
-        changed = [edited(a, b) for a, b in zip(texts, nexts, strict=True)]
-        again = signatures(pa.array(changed, pa.large_string()))
-        return pd.DataFrame(
-            {
-                "doc_id": pd.array(ids, "Int64"),
-                "n_chars": [len(t) for t in texts],
-                "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-                "fingerprint": [encode(s) for s in found],
-                "edited_fingerprint": [encode(s) for s in again],
-                "near_edited": [likeness(a, b) for a, b in zip(found, again, strict=True)],
-                "near_next": [likeness(a, b) for a, b in zip(found, next_found, strict=True)],
-            }
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wait: tuple | None = None  # the last own row of a range, and its signatures
+        wait: tuple | None = None  # the last own row of a range: id, text and signatures
         bucket = None
         for block in text_blocks(batches):
-            found = signatures(block.column("text"))
             texts, ids = block.column("text").to_pylist(), block.column("doc_id").to_pylist()
-            buckets, places = block.column("bucket").to_pylist(), block.column("place").to_pylist()
-            left: list[tuple] = []
-            for i in range(len(texts)):
-                if buckets[i] != bucket:
-                    wait, bucket = None, buckets[i]
-                if wait is not None:
-                    left.append((*wait, texts[i], found[i]))
-                wait = (ids[i], texts[i], found[i]) if places[i] == 0 else None
-            if left:
-                columns = list(zip(*left, strict=True))
-                out = rows(list(columns[0]), *[list(c) for c in columns[1:]])
-                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+            pairs: list[tuple[int, int]] = []  # a row and the one that follows it; -1 is the one that waits
+            last = None if wait is None else -1
+            for i, (at, place) in enumerate(zip(block.column("bucket").to_pylist(), block.column("place").to_pylist(), strict=True)):
+                if at != bucket:
+                    last, bucket = None, at
+                if last is not None:
+                    pairs.append((last, i))
+                last = i if place == 0 else None
+            changed = [edited(wait[1] if k < 0 else texts[k], texts[i]) for k, i in pairs]
+            # in one go, as a text and its edited form share most chains
+            every = signatures(pa.array(texts + changed, pa.large_string()))
+            rows = [wait if k < 0 else (ids[k], texts[k], every[k]) for k, _ in pairs]
+            wait = None if last is None else wait if last < 0 else (ids[last], texts[last], every[last])
+            if pairs:
+                own, again, after = [r[2] for r in rows], every[len(texts) :], [every[i] for _, i in pairs]
+                out = {
+                    "doc_id": pd.array([r[0] for r in rows], "Int64"),
+                    "n_chars": [len(r[1]) for r in rows],
+                    "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in changed],
+                    "fingerprint": [encode(s) for s in own],
+                    "edited_fingerprint": [encode(s) for s in again],
+                    "near_edited": [likeness(a, b) for a, b in zip(own, again, strict=True)],
+                    "near_next": [likeness(a, b) for a, b in zip(own, after, strict=True)],
+                }
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
 
     return in_order(docs).mapInArrow(run, schema)
 

@@ -137,7 +137,18 @@ def slow_signatures(text):
     return out
 
 
-def test_fingerprints(docs):
+@pytest.mark.parametrize("batch", [10_000, 1, 3])
+def test_fingerprints(docs, spark, batch):
+    """Neighbours are found across batches as well."""
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        compare_fingerprints(docs)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def compare_fingerprints(docs):
     rows = [(7 * i % 101, " ".join(f"{a} {b}" for a, b in zip(prose(i, 30 + i).split(), ("the of and river the stone is".split() * 20), strict=False))) for i in range(90)]
     rows += [(200, ""), (201, "one two"), (202, "?!"), (203, None), (204, rows[3][1])]
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs(*rows, parts=5)).collect()}
